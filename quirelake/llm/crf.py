@@ -1,7 +1,7 @@
 """A linear-chain conditional random field over word shapes, in numpy.
 
-Tokens are reduced to keys (what stands before them, and the word; digits to their count), keys to features, and the
-score of a label at a token is the sum over the nine keys around it. As a key's scores are made once and then gathered
+Tokens are reduced to keys (what stands before them, and the word; digits to their count, long ones with a leading 1 apart), keys to features, and the
+score of a label at a token is the sum over the eleven keys around it. As a key's scores are made once and then gathered
 by number, a batch of texts costs a few array operations a token. Decoding is exact: a token whose margin for "outside"
 is beyond what any path could win by transitions is outside in the best path, so Viterbi runs over the islands between
 such tokens, all islands of about one length at once.
@@ -14,8 +14,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-OFFSETS = range(-4, 5)
-_REACH = 4
+OFFSETS = range(-6, 5)
+_REACH = 6
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
 PAD = "\0"
 
@@ -33,7 +33,9 @@ def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
             gap = "."
         else:
             gap = "^" if "\n" in text[last:a] or "\r" in text[last:a] else " "
-        keys.append(gap + ("9" * min(b - a, 18) if word[0].isdecimal() else word))
+        if word[0].isdecimal():  # digits count; of long numbers the first one too
+            word = ("1" if word[0] == "1" and b - a > 8 else "9") + "9" * (min(b - a, 18) - 1)
+        keys.append(gap + word)
         starts.append(a)
         ends.append(b)
         last = b
@@ -41,7 +43,7 @@ def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
 
 
 def shape(word: str) -> str:
-    if word[0] == "9":
+    if word[0].isdecimal():
         return f"9x{len(word)}"
     if not word[0].isalpha():
         return word
@@ -72,8 +74,9 @@ class Features:
 
 
 class Crf:
-    def __init__(self, labels: list[str], features: Features) -> None:
-        self.labels, self.features = labels, features
+    def __init__(self, labels: list[str], features: Features, caution: float = 0.5) -> None:
+        """caution: what is taken from the score of "outside" when decoding; proposals are checked afterwards."""
+        self.labels, self.features, self.caution = labels, features, caution
         self.index: dict[str, int] = {}
         self.w = np.zeros((len(OFFSETS), 0, len(labels)), np.float32)
         self.pairs: dict[tuple[str, str], int] = {}
@@ -251,6 +254,7 @@ class Scorer:
             e[lo:hi] += self.rows[u[lo + off : hi + off], o]
         s = self.shapes[u]
         e[1:] += self.pair_scores[s[:-1] * self.size + s[1:]]
+        e[:, 0] -= self.crf.caution
         out = np.zeros(n, np.int8)
         sure = e[:, 0] - e[:, 1:].max(1) > self.margin
         sure[u == pad] = True

@@ -25,10 +25,15 @@ from quirelake.llm.pii_labels import STREET_WORDS, SUFFIXES, TITLE_WORDS, labell
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 #: Rows of the labelled table.
-LABELLED_ROWS = 1500
+LABELLED_ROWS = 4000
 #: Code points decoded at once in a task.
 SLICE_CHARS = 400_000
 
+#: Function words that begin or end no name.
+_NO_NAME = frozenset("a an the after before because if in on of is was what does nothing cells range der die das dem den ein eine liegt nach für im bei zu la le les el los las un une une del du des tras si en para con por".split())
+#: Particles that names are written with in small letters.
+_PARTICLES = frozenset("de la van der den von du del di da le los y".split())
+
 _LETTER = r"[^\W\d_]"
 _NAME_WORD = rf"(?:{_LETTER}['’])?{_LETTER}+(?:['’-]{_LETTER}+)*"
 _EMAIL = re.compile(
@@ -37,7 +42,13 @@ _EMAIL = re.compile(
 )
 _PHONE = re.compile(r"(?<![\w+])(?:\+ ?|00 ?)?\(?\d{1,5}\)?(?:[  .\-/‐‑–]{0,2}\(?\d{1,8}\)?){1,7}(?!\w)")
 _ID = re.compile(r"(?<![\w-])(?:[A-Z]{0,2}\d[A-Z\d]*(?:[  .‐‑-][A-Z\d]+)*)(?![\w-])", re.I)
-_HOUSE = r"\d{1,5} ?(?:bis|ter|quater|[a-z])?\b"
+#: How identity numbers are grouped where they are (social security, tax, and the fifteen digits of the NIR).
+_ID_GROUPED = re.compile(r"(?<![\w.,-])(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}|\d \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{8}-[A-Z])(?![\w-]|[.,]\d)", re.I)
+_ID_SURE = re.compile(r"(?<![\w.,-])(?:\d{3}([- ])\d{2}\1\d{4}|[12]\d{14}|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2})(?![\w-]|[.,]\d)")
+_PHONE_SURE = re.compile(r"(?<![\w.,-])(?:1\d{10}|\+\d{1,3}[  -]\(?\d[\d() ‑-]{7,13}\d|\(\d{3,4}\) \d{3}[ -]\d{4}|\d{3}([ .‑-])\d{3}\1\d{4})(?![\w-]|[.,]\d)")
+_STREET_SURE = re.compile(rf"(?<!\w){_LETTER}{{3,}}(?:straße|strasse|str\.|gasse|weg|platz|allee) \d{{1,4}}(?: ?[a-z]\b|\b)", re.I)
+#: Words that stand before a name, written with a capital at the start of a sentence.
+_BEFORE_NAMES = frozenset("as and with by from to von par por et y und à an bei slide owner signed regards".split())
 _GAP = r"(?:[ \t ]+|[ \t]*\r?\n)"
 _NUMBER_FIRST = re.compile(rf"\d{{1,5}} ?[a-z]?(?:{_GAP}(?:bis|ter|quater)\b)?,?(?:{_GAP}(?:{_LETTER}['’])?{_LETTER}[\w'’-]*\.?){{1,6}}", re.I)
 _NUMBER_LAST = re.compile(rf"{_LETTER}[\w'’.-]*(?:/)?(?:{_GAP}{_LETTER}[\w'’.-]*){{0,5}},?{_GAP}(?:(?:núm\.?|nº|no\.?|n°|nr\.?){_GAP}?)?\d{{1,5}}(?: ?[a-z]\b)?", re.I)
@@ -52,7 +63,9 @@ class Finder:
 
     def __init__(self, given: list[str], family: list[str], rows: int = LABELLED_ROWS, steps: int = 90) -> None:
         words = lambda parts: frozenset(w.casefold() for p in parts for w in re.findall(_LETTER + "+(?:['’]" + _LETTER + "+)*", p))
-        self.given, self.family = words(given), words(family)
+        self.given, self.family = words(given) - _PARTICLES, words(family) - _PARTICLES
+        several = [f.casefold().split(" ") for f in family if " " in f]
+        self.led = [(" ".join(f[:k]), f[k]) for f in several for k in range(1, len(f))]
         lexicon = {"given": self.given, "family": self.family, "street": STREET_WORDS, "title": TITLE_WORDS}
         texts = []
         for text, spans in labelled_rows(given, family, rows):
@@ -105,6 +118,14 @@ class Finder:
             done: list[tuple[int, int, str]] = []
             for a, b, kind in spans:
                 hit = getattr(self, "_" + kind)(text, a, b)
+                if not hit and kind != "name":  # the form may be that of another kind, where it leaves no doubt
+                    grouped = self._around(_ID_SURE, text, a, b, 12)
+                    if grouped:
+                        hit, kind = grouped.span(), "id_number"
+                    elif dialled := self._around(_PHONE_SURE, text, a, b, 12):
+                        hit, kind = dialled.span(), "phone"
+                    elif street := self._around(_STREET_SURE, text, a, b, 30):
+                        hit, kind = street.span(), "address"
                 if hit and text[hit[0] : hit[1]].strip():
                     done.append((*hit, kind))
             done.sort(key=lambda s: (s[0], -s[1]))
@@ -135,37 +156,52 @@ class Finder:
         return None
 
     def _phone(self, text: str, a: int, b: int):
-        while a and text[a - 1] in "+(" :
+        while a and text[a - 1] in "+(":
             a -= 1
-        part = text[a:b]
-        m = _PHONE.match(text, a)
-        if m and m.end() <= b + 1:
-            part = m.group()
-        part = part.rstrip(" .,;:|-/(")
-        digits = sum(c.isdigit() for c in part)
-        if 9 <= digits <= 15 and not re.search(_LETTER, part) and "\n" not in part:
+        whole = self._around(_PHONE, text, a, b, 24)
+        for m in (_PHONE.match(text, a), whole):
+            if m and m.end() <= b + 2 and self._is_phone(m.group()):
+                return m.span()
+        part = text[a:b].rstrip(" .,;:|-/(")
+        if self._is_phone(part):
             return a, a + len(part)
-        m = self._around(_PHONE, text, a, b, 24)
-        if m and 9 <= sum(c.isdigit() for c in m.group()) <= 15:
-            return m.span()
-        return None
+        return whole.span() if whole and self._is_phone(whole.group()) else None
+
+    @staticmethod
+    def _is_phone(part: str) -> bool:
+        """Country or area code and number: 9 to 15 digits, grouped as numbers that are dialled."""
+        groups = re.findall(r"\d+", part)
+        n = sum(map(len, groups))
+        if not 9 <= n <= 15 or re.search(_LETTER + r"|[\r\n]", part):
+            return False
+        if part.lstrip("( ").startswith(("+", "00")):
+            return True
+        lengths = [len(g) for g in groups]
+        if n > 12 or lengths in ([3, 2, 4], [2, 3, 3, 3]) or len(lengths) > 5:
+            return False
+        return part[0] in "(01" or n == 10 or n == 9 and part[0] in "6789"
 
     def _id_number(self, text: str, a: int, b: int):
-        m = self._around(_ID, text, a, b, 24)
-        if not m:
-            return None
-        span = m.span()
-        part = m.group()
-        words = [w for w in re.finditer(r"[^\W_]+", part)]
-        while words and not any(c.isdigit() for c in words[-1].group()) and len(words[-1].group()) > 1:
-            words.pop()
-        if not words:
-            return None
-        end = span[0] + words[-1].end()
-        # a single letter that closes the number belongs to it only behind a hyphen
-        body = text[span[0] : end]
-        digits, size = sum(c.isdigit() for c in body), sum(c.isalnum() for c in body)
-        return (span[0], end) if digits >= 5 and 7 <= size <= 16 else None
+        grouped = self._around(_ID_GROUPED, text, a, b, 24)
+        if grouped:
+            return grouped.span()
+        part = text[a:b]
+        m = re.match(r"[\W_]+", part)
+        if m:
+            a += m.end()
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        while b < len(text) and (text[b].isascii() and text[b].isalnum() or text[b] == "-" and text[b + 1 : b + 2].isalnum()):
+            b += 1
+        while a and text[a - 1].isascii() and text[a - 1].isalnum():
+            a -= 1
+        part = text[a:b]
+        m = re.match(r"(?:[A-Za-z]{3,}[ .:]+)+", part)
+        if m:
+            a += m.end()
+            part = text[a:b]
+        digits, size = sum(c.isdigit() for c in part), sum(c.isalnum() for c in part)
+        return (a, b) if digits >= 5 and 7 <= size <= 16 and _ID.fullmatch(part) else None
 
     def _address(self, text: str, a: int, b: int):
         part = text[a:b]
@@ -210,21 +246,32 @@ class Finder:
             b -= 1
         while True:  # titles are not part of a name
             m = re.match(rf"({_LETTER}+)\.?\s+", text[a:b])
-            if m and m.group(1).casefold() in TITLE_WORDS and (len(m.group(1)) > 1 or m.group(1).islower()):
+            low = m.group(1).casefold() if m else ""
+            rest = text[a + m.end() : b].split() if m else []
+            lone = len(low) == 1 and not (len(rest) > 1 and (rest[0][:1].isupper() or rest[0][:1] == rest[0][:1].lower() and m.group(1).islower()) and rest[0].strip(".,").casefold() not in _PARTICLES)
+            if m and (low in _BEFORE_NAMES or low in TITLE_WORDS and not lone):
                 a += m.end()
             else:
                 break
-        words = re.findall(_NAME_WORD, text[a:b])
-        if len(words) >= 2 and len(words[-1]) > 1 and not re.search(r"[\r\n|;:]", text[a:b]):
-            return (a, b) if all(len(w) > 1 for w in words[1:-1]) or len(words) <= 4 else None
-        if len(words) == 1:
+        head = re.match(_NAME_WORD, text[a:b])
+        for lead, word in self.led if head else ():  # families of several words, of which the model may leave the first
+            if word == head.group().casefold() and text[max(0, a - len(lead) - 1) : a].casefold() == lead + " ":
+                a -= len(lead) + 1
+                break
+        if len(re.findall(_NAME_WORD, text[a:b])) == 1:
             after = re.match(rf"(?:,? (?:{_LETTER}\. )?)({_NAME_WORD})", text[b : b + 40])
-            if after and self._part(after.group(1)):
-                return a, b + after.end()
             before = re.search(rf"({_NAME_WORD}|{_LETTER}\.),? $", text[max(0, a - 40) : a])
-            if before and (self._part(before.group(1)) or len(before.group(1)) == 2 and before.group(1)[1] == "."):
-                return max(0, a - 40) + before.start(), b
-        return None
+            if after and self._part(after.group(1)):
+                b += after.end()
+            elif before and (self._part(before.group(1)) or len(before.group(1)) == 2 and before.group(1)[1] == "."):
+                a = max(0, a - 40) + before.start()
+        words = re.findall(_NAME_WORD, text[a:b])
+        if len(words) < 2 or len(words) > 6 or len(words[-1]) < 2 or re.search(r"[\r\n|;:]", text[a:b]):
+            return None
+        first, last = words[0], words[-1]
+        if first.casefold() in _NO_NAME - _PARTICLES or last.casefold() in _NO_NAME or first.islower() and len(first) == 1 and not last.islower():
+            return None
+        return a, b
 
     def _part(self, word: str) -> bool:
         low = word.casefold()

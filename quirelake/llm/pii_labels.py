@@ -14,7 +14,7 @@ KINDS = {"name": "name", "email": "email", "phone": "phone", "id": "id_number",
 
 CASES = [
     # names
-    "Signed, {name}", "Owner: {name}", "Prepared by {name}.", "Reviewed with {name} on {sheet}.", "As {name} told {team}, {cell} is final.", "Attendees: {name}; {team}", "{title} {name} left in {month}.",
+    "Signed, {name}", "Owner: {name}", "Prepared by {name}.", "Reviewed with {name} on {sheet}.", "Reviewed with {name} on {sheet}.", "As {name} told {team}, {cell} is final.", "As {name} told {team}, {cell} is final.", "Attendees: {name}; {team}", "{title} {name} left in {month}.",
     "{title} {name} disagrees with {metric}.", "{name} asked {team} for the {adj} file.", "Name:\t{name}", "Responsable : {name}", "Rédigé par {name}.", "{title} {name} suit le dossier de {place}.",
     "{title} {name} a validé {sheet}.", "Zuständig: {name}", "Erstellt von {name}.", "{title} {name} prüft {sheet}.", "{title} {name} meldet sich aus {place}.", "Preparado por {name}.", "Responsable: {name}",
     "{title} {name} envió el libro.", "{title} {name} firmó {sheet}.", "Regards,\n{name}", "--\n{name}", "Thanks,\n{name}", "Cordialement,\n{name}", "Mit freundlichen Grüßen\n{name}", "Saludos,\n{name}", "{name}", "{name}\n{email}",
@@ -27,13 +27,13 @@ CASES = [
     "Contact ({email}) for the {adj} file.", "Kopie an {email} bis {month}.", "Rückfragen bitte an {email}.", "Copie à {email} avant {month}.", "Merci d'écrire à {email}.", "Copia a {email} antes de {month}.", "Escribir a {email}.", "{email}", "mailto:{email}",
     # phones
     "Tel. {phone}", "Tel.: {phone}", "Tél. : {phone}", "Phone:\t{phone}", "Mobile: {phone}", "Mobil {phone}", "Portable {phone}", "Móvil: {phone}", "fax {phone}", "Fax: {phone}", "Call {phone} after the close.", "My number is {phone}.",
-    "Desk line {phone}, ext. {n2}", "Desk line {phone} x{n2}", "Rückruf unter {phone}.", "Llamar al {phone}.", "Appeler le {phone} en {month}.", "Rappeler au {phone} en {month}.", "{phone}", "Phone {phone} or {phone}",
+    "Desk line {phone}, ext. {n2}", "Desk line {phone} x{n2}", "Rückruf unter {phone}.", "Llamar al {phone}.", "Appeler le {phone} en {month}.", "Rappeler au {phone} en {month}.", "{phone}", "Phone {phone} or {phone}", "If {sheet} breaks, ring {phone}.", "{name} | {phone}", "| {name} | {phone} | {id} |", "| {name} | {id} | {phone} |", "| {name} | {id} |", "{name};{phone};{id}", "{name};{id}", "{name};{phone}",
     # identity numbers
     "Social security number: {id}", "SSN {id} was typed into {cell}.", "Employee gave {id} as the SSN.", "National ID no. {id}", "Taxpayer ID {id} belongs to the applicant.", "The passport number on page {n2} is {id}.", "Id Number:\t{id}",
     "Personalausweis Nr. {id}", "Steuer-ID: {id}", "Die Reisepassnummer lautet {id}.", "DNI {id}", "El NIE {id} aparece en {cell}.", "Pasaporte n.º {id}", "NIF {id}", "Numéro de sécurité sociale : {id}", "Le NIR {id} figure en {cell}.", "Passeport n° {id}",
     # addresses
     "Home address: {addr}\n{place}, {zip}", "Home address: {addr}", "The applicant lives at {addr}.", "Ship the binder to {addr}, {place} {zip}.", "Site visit at {addr} on the first of {month}.", "Returned mail: {addr}, Unit {n2}, {place}", "Returned mail: {addr}, Apt {n2}, {place} {zip}",
-    "Adresse : {addr}, {zip} {place}", "Le demandeur habite {addr}.", "Livraison au {addr}", "Anschrift: {addr}, {zip} {place}", "Wohnhaft {addr}.", "Lieferung an {addr}", "Domicilio: {addr}, {zip} {place}", "Vive en {addr}, {zip} {place}.", "Entregar en {addr}.", "Deliver to {addr} by {month}.",
+    "Adresse : {addr}, {zip} {place}", "Le demandeur habite {addr}.", "Livraison au {addr}", "Anschrift: {addr}, {zip} {place}", "Wohnhaft {addr}.", "Lieferung an {addr}", "Domicilio: {addr}, {zip} {place}", "Vive en {addr}, {zip} {place}.", "Entregar en {addr}.", "Deliver to {addr} by {month}.", "Lieferung an {addr}\n{zip} {place}", "{name}\n{addr}\n{place}, {zip}",
     "{addr}", "{addr}\n{zip} {place}", "{addr}\n{phone}",
 ]
 
@@ -42,7 +42,7 @@ OUTSIDE = [
     "Purchase order {n3}-{n2}-{n4} was split over two rows.", "Checksum 7f3a{n4}b1 does not match 7f3a{n4}b9.", "Serial {n8}Q was scanned twice at {place}.", "Lot {n5} {n4} {n3} shipped on 20{n2}-0{n1}-{n2}.", "Batch {n4}-{n4} needs a second count.",
     "Part no. {n3}-{n2}-{n4} replaces {n3}-{n2}-{n4}.", "Will the grace period cover {place}?", "Margins rose in {month} and fell again by {month}.", "Meet in room {n2}, Lane B, after the {month} close.", "Rows {n3}-{n4} hold the archive.", "Amounts: {n1} {n3} {n4}; {n2} {n4}; {n2} {n2} {n2}.",
     "See https://docs.corrow.example/v{n2}/close?id={n4} for steps.", "Ticket INC-{n4}-{n2} is closed; see build {n1}.{n2}.{n2}-rc{n1}.", "Invoice {n4}/{n4}/{n4} waits for {team}.", "Formula =SUM({sheet}!{cell}:{cell})*{n1}.{n4} returns an error.", "The {month}–{month} bridge lives on {sheet}, row {n4}.",
-    "Rose gold trim for {product} is out of stock.", "The Bill of materials sits on {sheet}.", "Street parking at {place} costs {num}.", "Street parking at {place} costs {num} EUR.", "May and June close on {sheet}.", "Order no. {n3}-{n2}-{n4} ships from {place}.", "Case {n3}-{n3}-{n4} was reopened.",
+    "Rose gold trim for {product} is out of stock.", "The Bill of materials sits on {sheet}.", "Street parking at {place} costs {num}.", "v0{n2} {op} {sheet}!{cell}:{cell} {num} -> {num}", "v0{n2} {op} {sheet}!{cell}:{cell} {num} -> {num}", "v0{n2} {op} {sheet}!{cell}:{cell} {num} -> {num}", "Street parking at {place} costs {num} EUR.", "May and June close on {sheet}.", "Order no. {n3}-{n2}-{n4} ships from {place}.", "Case {n3}-{n3}-{n4} was reopened.",
     "{place} reported {metric} of {num} USD, against a plan of {num} k.", "Costs at {place} rose by {n2}.{n1}% while {metric} barely moved.", "{product} ships to {place} in {month}; {team} wants the {adj} forecast first.", "The footer says {month} 20{n2}, the header says {month}, and neither matches {sheet}.",
     "Keep the {adj} rate at {n2}.{n1}% until {place} confirms its {month} count.", "Version {n2} of the workbook was reverted after {team} flagged the merge at {cell}:{cell}.", "Nothing in {sheet} depends on {cell} any more, so the row can go.", "By {month} 20{n2} the {sheet} tab should carry one line per site, {place} included.",
     "After the last apply, {n2} dependents of {cell} on {sheet} came back empty.", "Please read page {n2} of the form before you touch the {adj} totals.", "If {metric} stays under {n2}.{n1}%, {team} will close the {product} line in {month}.", "The deck for {place} repeats slide {n2} twice, and its notes quote {num} EUR instead of {num}.",
@@ -58,17 +58,18 @@ OUTSIDE = [
     "Tras la versión {n2}, compras pidió deshacer parte del cambio.", "El pie de página dice {month} y el encabezado dice {month}.", "En {month} de 20{n2}, la planta de {place} declaró {num} EUR frente a {num} k previstos.", "Si la merma supera el {n2},{n1}%, la línea {product} se revisará en {month}.",
     "Because {cell} on {sheet} logged the auditor, the {adj} spindle at {place} shows {num} where the panel shows {num}.", "Neither the {adj} rebate nor the bale of {place} was mislaid, although {cell}:{cell} lists {n3} ledgers as narrow.", "{product} netted its levy in {place}, priced the {adj} pivot in {month}, and left {n3} leased reels on {sheet}.",
     "Quand le devis est commun, le permis en {cell} doit être inversé ; sinon le compteur de {place} coûte {num} USD.", "Der ländliche Makler aus {place} hat den Vertrag {n3} mal verdoppelt, danach wurde der alte Posten im {month} gewogen.", "El descuento de {place} ha señalado {n2} veces el sello rojo, y luego el saldo de {month} fue movido.", "What does {place} owe in {month}?", "Question: Which cell must change first, and why?",
-    "报告 表 {num}", "{month} {n4}", "{num}", "{sheet}", "{place}", "✅ ok", "QUESTION: HOW LARGE IS THE GAP BETWEEN {place} AND {place}?", "THE {adj} BROKER DOUBLED {n3} TAXABLE SPINDLES WHILE A PANEL NEAR {place} SIGNED THE DOCKET FOR {month}.",
+    "报告 表 {num}", '{{"context": "{num}. Le acompte mixte de"}}', '{{"context": "{num} {place}, {cell}"}}', "{month} {n4}", "{num}", "{sheet}", "{place}", "✅ ok", "QUESTION: HOW LARGE IS THE GAP BETWEEN {place} AND {place}?", "THE {adj} BROKER DOUBLED {n3} TAXABLE SPINDLES WHILE A PANEL NEAR {place} SIGNED THE DOCKET FOR {month}.",
 ]
 
 FILL = {
     "sheet": "Drivers Digest Basis Checks Opex Capex Lookup Levers Payroll FX Stock Earnings Sites Turnover Steerco Liquidity Revenue Summary".split(),
-    "team": ["treasury", "procurement", "payroll", "facilities", "internal audit", "the pricing desk", "the claims team", "customer support", "field operations", "product planning", "Treasury", "Procurement", "The pricing desk"],
-    "metric": ["gross margin", "net revenue", "backlog", "churn", "unit cost", "scrap rate", "days outstanding", "freight spend", "headcount", "cash conversion", "la marge brute", "der Nettoumsatz", "el coste unitario"],
+    "team": ["treasury", "procurement", "payroll", "facilities", "internal audit", "the pricing desk", "the claims team", "customer support", "field operations", "product planning", "Treasury", "Procurement", "The pricing desk", "la trésorerie", "les achats", "le contrôle interne", "l'équipe tarifaire", "die Revision", "das Lagerteam", "die Preisstelle", "die Lohnstelle", "el almacén", "compras", "nóminas", "auditoría interna"],
+    "metric": ["gross margin", "net revenue", "backlog", "churn", "unit cost", "scrap rate", "days outstanding", "freight spend", "headcount", "cash conversion", "overtime", "renewal value", "la marge brute", "le délai moyen", "le coût unitaire", "le chiffre d'affaires", "le carnet de commandes", "der Nettoumsatz", "der Stückpreis", "die Rohmarge", "die Fehlerquote", "der Auftragsbestand", "el coste unitario", "la merma", "el ingreso neto", "el margen bruto", "la cartera de pedidos"],
     "adj": ["blended", "one-off", "rolling", "seasonal", "restated", "trailing", "deferred", "weighted", "like-for-like", "unaudited", "BONDED", "frozen"],
     "month": "January February March April May June July August September October November December janvier février mars avril mai juin juillet août septembre Januar Februar März Juni Juli Oktober Dezember enero abril mayo junio agosto septiembre octubre".split(),
     "place": ["Quillbay", "Pellagor", "Hollowford", "Istria Gate", "Lindqvar", "Maravel", "Bexford", "Tamsin Reach", "Upper Fenn", "Northmere", "Dunmarsh", "Corrow", "Ostravale", "Varnholt", "Sel Marina", "Kestrel Point"],
     "product": ["Opal Scale", "Slate Index", "Copper Desk", "Blue Lantern", "Harbor Ledger", "Granite Till", "Tide Router", "Amber Queue", "Delta Loom", "Field Almanac", "Signal Barn", "Paper Kite", "OpalScale", "AmberQueue", "TideRouter"],
+    "op": "set_range merge_cells insert_row rotate_page set_cell_value replace_shape_text delete_row".split(),
     "title": ["Ms", "Mr", "Mrs", "Dr.", "Dr", "Mr.", "Ms.", "Herr", "Frau", "Mme", "M.", "Don", "Doña", "La Sra.", "El Sr.", "Prof."],
 }
 
@@ -144,7 +145,7 @@ class Maker:
         return "".join(str(self.rng.randint(0, 9)) if c == "9" else self.rng.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "L" else c for c in pattern)
 
     def phone(self) -> str:
-        forms = ["999-555-0199", "(999) 555-0199", "999.555.0199", "999 555 0199", "999‑555‑0199", "+1 999 555 0199", "+1-999-555-0199", "1999555019", "19995550199", "020 7946 0999", "(0119) 496 0999", "0119 496 0999", "+44 20 7946 0999", "+44 (0)20 7946 0999", "07700 900999",
+        forms = ["999-555-0199", "(999) 555-0199", "999.555.0199", "999 555 0199", "999‑555‑0199", "+1 999 555 0199", "+1-999-555-0199", "9995550199", "19995550199", "19995550199", "19995550199", "020 7946 0999", "(0119) 496 0999", "0119 496 0999", "+44 20 7946 0999", "+44 (0)20 7946 0999", "07700 900999",
                  "01 99 00 99 99", "01.99.00.99.99", "06 39 98 99 99", "+33 1 99 00 99 99", "+33 6 39 98 99 99", "030 23125 999", "030/23125999", "0152 28817999", "+49 30 23125999", "+49 (0)30 23125-999", "+49 152 28817999", "600 00 09 99", "900-000-999", "600-000-999", "+34 600 000 999", "+34 600 00 09 99", "+34 900-000-999", "+1 (999) 555-0199"]
         return self._digits(self.rng.choice(forms))
 
@@ -204,25 +205,44 @@ class Maker:
             size += len(value)
         return "".join(out), spans
 
+    def block(self) -> tuple[str, list[tuple[int, int, str]]]:
+        """A pattern filled in, now and then behind what such lines begin with, or in capitals or small letters throughout."""
+        r = self.rng
+        if r.random() < 0.08:  # a table
+            row = "| {place} | {metric} | {num} | "
+            return self.fill("| Site | Metric | Amount | Note |\n| --- | --- | --- | --- |\n" + "\n".join(row + r.choice(["{adj} |", " |", "{adj} |", r.choice(OUTSIDE).split("\n")[0] + " |"]) for _ in range(r.randint(1, 4))))
+        inside = r.random() < 0.55
+        pattern = r.choice(CASES) if inside else r.choice(OUTSIDE)
+        if r.random() < 0.25:
+            pattern = r.choice(["- ", "- ", "| ", "| {place} | {metric} | {num} | ", "[{n2}:{n2}] owner: ", "[{n2}:{n2}] analyst: ", "Slide {n1}: {product} ", "Slide {n1}: {product}\n", "Unit: ", "Unit: {month} ", "Period: {num} ", "Comment: ", "Site: {place} ", "Quota: ", "{product} ", "✅ ", "表 "]) + pattern
+        if r.random() < 0.08:
+            pattern += r.choice([" 👍", " :)", " |", " 📊", " ✅ ok"])
+        text, spans = self.fill(pattern)
+        case = r.random()
+        if not inside and case < 0.1 and len(text.upper()) == len(text):
+            text = text.upper()
+        elif not inside and case < 0.2 and len(text.lower()) == len(text):
+            text = text.lower()
+        return text, spans
+
     def row(self) -> tuple[str, list[tuple[int, int, str]]]:
         """A text of a few lines with its spans."""
         r = self.rng
-        patterns = [r.choice(CASES) if r.random() < 0.55 else r.choice(OUTSIDE) for _ in range(r.randint(1, 4))]
+        blocks = [self.block() for _ in range(r.randint(1, 4))]
         if r.random() < 0.15:
-            patterns.append("Regards,\n{name}\n" + "\n".join(r.sample(["{email}", "{phone}", "{addr}"], r.randint(1, 3))))
-        if r.random() < 0.08:
-            patterns.append("--\n{name} | " + " | ".join(r.sample(["{email}", "{phone}", "{addr}"], r.randint(1, 2))))
+            blocks.append(self.fill(r.choice(["Regards,\n", "Regards,\n", "--\n"]) + "{name}\n" + "\n".join(r.sample(["{email}", "{phone}", "{addr}"], r.randint(1, 3)))))
+        if r.random() < 0.10:
+            blocks.append(self.fill(r.choice(["Regards,\n", "--\n", ""]) + "{name} | " + " | ".join(r.sample(["{email}", "{phone}", "{addr}"], r.randint(1, 2)))))
         text, spans = "", []
-        for k, pattern in enumerate(patterns):
+        for k, (more, found) in enumerate(blocks):
             if k:
                 text += r.choice(["\n", "\n", "\n\n", " ", "\n \n", "\r\n"])
-            more, found = self.fill(pattern)
             spans += [(a + len(text), b + len(text), kind) for a, b, kind in found]
             text += more
         return text, spans
 
 
-def labelled_rows(given: list[str], family: list[str], rows: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_rows(given: list[str], family: list[str], rows: int = 4000, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     maker = Maker(given, family, seed)
     once = [maker.fill(p) for p in CASES + OUTSIDE]
     return once + [maker.row() for _ in range(max(0, rows - len(once)))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import encoding, leaks, looks, splitting
+from quirelake.llm import encoding, leaks, looks, pii, splitting
 from quirelake.session import table
 
 
@@ -57,7 +57,26 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).where("leak_kind = 'verbatim'").select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_ids": p6_ids, "p6_reuse": p6_reuse, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def _finder(spark: SparkSession, sf: str) -> pii.Finder:
+    return pii.fitted(table(spark, sf, "name_parts"), "name_part", "part_kind")
+
+
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf, "documents"), "doc_id", "text", _finder(spark, sf))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_spans(spark, sf).select("doc_id", "pii_kind", "pii_key").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(table(spark, sf, "documents"), "doc_id", "text", _finder(spark, sf))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_ids": p6_ids, "p6_reuse": p6_reuse, "p7_found": p7_found, "p7_leaks": p7_leaks,
+    "p8_found": p8_found, "p8_spans": p8_spans, "p8_redacted": p8_redacted,
+}
 ORACLE = {
     "p2_found": "SELECT DISTINCT access_id FROM access_log WHERE content IS NOT NULL AND ceil(length(content) / 4.0) > coalesce(max_tokens, 2000)",
 }
