@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quirelake.plans import records
+from quirelake.plans import records, workspace
 
-MODULES = (records,)
+MODULES = (records, workspace)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
