@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import a1, ids
 from quirelake.functions import text as tx
+from quirelake.functions.formats import NUMBER_FORMATS
 from quirelake.operators import dependencies, grid, search, status, versions
 from quirelake.session import table
 
@@ -520,13 +521,6 @@ def element_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "paragraphs").select("unit_id", ids.element_id("paragraph", F.col("idx"), F.col("text")).alias("element_id"))
 
 
-#: Built-in number formats of spreadsheets, by id.
-NUMBER_FORMATS = {
-    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM",
-    20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
-}
-
-
 @query("number_formats", "WITH f(id, code) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in NUMBER_FORMATS.items()) + ") SELECT p_partkey, code AS number_format FROM part LEFT JOIN f ON f.id = p_size")
 def number_formats(spark: SparkSession, sf: str) -> DataFrame:
     """Style numbers as format codes; the general format, and numbers that mean nothing, are null. The lookup is a constant."""
