@@ -11,6 +11,17 @@ from quirelake.sources.files import TABLES
 PNG = base64.b64encode(b"\x89PNG\r\n\x1a\n" + bytes(8)).decode()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """Hundreds of plans over a handful of rows: interpreting them is faster than compiling each."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("false", "NO_CODEGEN", "1", "false")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 def frame(spark, name, rows):
     schema = "object_path string, " + TABLES[name]
     columns = [c.strip().split()[0] for c in schema.split(",")]
