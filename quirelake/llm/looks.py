@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.session import durable
+
 #: Letters of other alphabets with the shape of a Latin letter.
 SAME_SHAPE = {
     # Greek
@@ -96,12 +98,12 @@ def look_udf(texts: pd.Series) -> pd.Series:
 def canonical_forms(units: DataFrame, unit: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(text, class_key, canonical, n_variants) of each distinct text, and the units (unit, text), each once."""
     rows = units.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).groupBy(F.col(unit).alias("unit")).agg(F.min(text).alias("text"))
-    forms = rows.select("text").distinct().withColumn("look", look_udf("text")).where(F.regexp_replace("look", r"\s+", "") != "")
+    # written once: mapping a text is the dear step, and the classes are looked at from several sides
+    forms = durable(rows.select("text").distinct().withColumn("look", look_udf("text")).where(F.regexp_replace("look", r"\s+", "") != ""), "looks")
     # candidates: equal under the collation; then the exact check: equal mapped characters
-    grouped = forms.groupBy(F.expr("look COLLATE UNICODE").alias("collated")).agg(F.collect_set("look").alias("looks"))
-    classes = grouped.select(F.explode("looks").alias("look"))
-    members = classes.join(forms, "look")
-    chosen = members.groupBy("look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants"))
+    by_look = forms.groupBy("look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants"))
+    grouped = by_look.groupBy(F.expr("look COLLATE UNICODE").alias("collated")).agg(F.collect_list(F.struct("look", "c", "n_variants")).alias("looks"))
+    chosen = grouped.select(F.explode("looks").alias("x")).select("x.look", "x.c", "x.n_variants")
     return forms.join(chosen, "look").select("text", F.col("look").alias("class_key"), F.col("c.text").alias("canonical"), "n_variants"), rows
 
 
