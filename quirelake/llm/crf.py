@@ -17,28 +17,29 @@ import numpy as np
 OFFSETS = range(-6, 5)
 _REACH = 6
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
+#: A token with the blanks before it: these cover a text but for the blanks at its end.
+RAW = re.compile(r"\s*(?:" + TOKEN.pattern + ")")
 PAD = "\0"
 
 
+def key_of(raw: str, first: bool = False) -> str:
+    """The key of a token with the blanks before it."""
+    word = raw.lstrip()
+    lead = raw[: len(raw) - len(word)]
+    gap = "^" if first or "\n" in lead or "\r" in lead else " " if lead else "."
+    if word[0].isdecimal():  # digits count; of long numbers the first one too
+        word = ("1" if word[0] == "1" and len(word) > 8 else "9") + "9" * (min(len(word), 18) - 1)
+    return gap + word
+
+
 def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
     """(keys, starts, ends) of the tokens of a text. A key begins with the gap before it: none, blank or line end."""
-    keys, starts, ends = [], [], []
-    last = 0
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        word = m.group()
-        if a == 0:
-            gap = "^"
-        elif a == last:
-            gap = "."
-        else:
-            gap = "^" if "\n" in text[last:a] or "\r" in text[last:a] else " "
-        if word[0].isdecimal():  # digits count; of long numbers the first one too
-            word = ("1" if word[0] == "1" and b - a > 8 else "9") + "9" * (min(b - a, 18) - 1)
-        keys.append(gap + word)
-        starts.append(a)
-        ends.append(b)
-        last = b
+    keys, starts, ends, at = [], [], [], 0
+    for raw in RAW.findall(text):
+        keys.append(key_of(raw, at == 0))
+        at += len(raw)
+        starts.append(at - len(raw.lstrip()))
+        ends.append(at)
     return keys, starts, ends
 
 
@@ -207,6 +208,7 @@ class Scorer:
     def __init__(self, crf: Crf) -> None:
         self.crf = crf
         self.number: dict[str, int] = {}
+        self.raw_number: dict[str, int] = {}
         self.shape_number: dict[str, int] = {s: i for i, s in enumerate(sorted({s for p in crf.pairs for s in p}))}
         s = len(self.shape_number) + 1
         self.unknown_shape = s - 1
@@ -229,21 +231,32 @@ class Scorer:
         self.number[key] = k
         return k
 
+    def codes(self, raws: list[str]) -> list[int]:
+        """The numbers of the keys of a text's tokens; each spelling is looked at once."""
+        get = self.raw_number.get
+        out = [get(r) for r in raws]
+        for i in [i for i, c in enumerate(out) if c is None]:
+            key = key_of(raws[i])
+            code = self.number.get(key)
+            out[i] = self.raw_number[raws[i]] = self._add(key) if code is None else code
+        if raws:
+            key = key_of(raws[0], True)
+            out[0] = self.number[key] if key in self.number else self._add(key)
+        return out
+
     def label(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
-        """The labels of each text's tokens on the best path; texts are lists of keys."""
-        if len(self.number) > 200_000:
+        """The labels of each text's tokens on the best path; texts are lists of tokens with the blanks before them."""
+        if len(self.number) > 200_000 or len(self.raw_number) > 400_000:
             self.number.clear()
-        number, add = self.number, self._add
-        pad = number.get(PAD)
+            self.raw_number.clear()
+        pad = self.number.get(PAD)
         if pad is None:
-            pad = add(PAD)
+            pad = self._add(PAD)
         uid: list[int] = [pad] * _REACH
         bounds = []
-        for keys in texts:
+        for raws in texts:
             a = len(uid)
-            for k in keys:
-                i = number.get(k)
-                uid.append(add(k) if i is None else i)
+            uid += self.codes(raws)
             bounds.append((a, len(uid)))
             uid += [pad] * _REACH
         u = np.array(uid)

@@ -14,12 +14,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelake.llm.crf import Crf, Features, tokenize
+from quirelake.llm.crf import RAW, Crf, Features, tokenize
 from quirelake.llm.pii_labels import STREET_WORDS, SUFFIXES, TITLE_WORDS, labelled_rows
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
@@ -95,18 +96,20 @@ class Finder:
         """The model's spans of each text."""
         if self._scorer is None:
             self._scorer = self.crf.scorer()
-        tokens = [tokenize(t) for t in texts]
+        tokens = [RAW.findall(t) for t in texts]
         out = []
-        for (_, starts, ends), labels in zip(tokens, self._scorer.label(t[0] for t in tokens)):
+        for raws, labels in zip(tokens, self._scorer.label(tokens)):
             spans: list[list] = []
+            hits = labels.nonzero()[0].tolist()
+            ends = np.cumsum([len(r) for r in raws]).tolist() if hits else []
             last = 0
-            for i in labels.nonzero()[0].tolist():
+            for i in hits:
                 label = int(labels[i])
                 kind, begins = KINDS[(label - 1) // 2], label % 2 == 1
                 if spans and not begins and last == i - 1 and spans[-1][2] == kind:
                     spans[-1][1] = ends[i]
                 else:
-                    spans.append([starts[i], ends[i], kind])
+                    spans.append([ends[i] - len(raws[i].lstrip()), ends[i], kind])
                 last = i
             out.append([tuple(s) for s in spans])
         return out

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quirelake.llm import pii, pii_labels
-from quirelake.llm.crf import Crf, Features, tokenize
+from quirelake.llm.crf import RAW, Crf, Features, tokenize
 
 GIVEN, FAMILY = ["Perrine", "Søren", "Will", "Rose", "Mark", "Jean-Corin", "Odette", "Bram"], ["Yllescas", "O'Kestrel", "Thornquist-Bell", "van der Mool", "Penhallick", "Farnwick"]
 
@@ -19,13 +19,14 @@ def keys(finder, text):
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(1)
     crf = Crf(["O", "B-x", "I-x"], Features({}, ()), caution=0.0)
-    texts = [(tokenize(" ".join(rng.choice(["ab", "Cd", "7", "EF"], rng.integers(3, 9))))[0], None) for _ in range(60)]
-    crf.fit([(k, rng.integers(0, 3, len(k)).tolist()) for k, _ in texts], steps=15)
+    texts = [" ".join(rng.choice(["ab", "Cd", "7", "EF"], rng.integers(3, 9))) for _ in range(60)]
+    crf.fit([(tokenize(t)[0], rng.integers(0, 3, len(t.split())).tolist()) for t in texts], steps=15)
     scorer = crf.scorer()
-    for k, _ in texts:
+    for text in texts:
+        k, raws = tokenize(text)[0], RAW.findall(text)
         n = len(k)
         padded = ["\0"] * 6 + k + ["\0"] * 6
-        scorer.label([k])
+        scorer.label([raws])
         e = np.zeros((n, 3))
         for i in range(n):
             for o, off in enumerate(range(-6, 5)):
@@ -34,7 +35,7 @@ def test_viterbi_against_brute_force():
             e[i] += scorer.pair_scores[s[0] * scorer.size + s[1]]
         grid = np.array(np.meshgrid(*[range(3)] * n)).reshape(n, -1).T
         score = e[np.arange(n), grid].sum(1) + crf.trans[grid[:, :-1], grid[:, 1:]].sum(1) + crf.trans[0, grid[:, 0]] + crf.trans[grid[:, -1], 0]
-        assert grid[score.argmax()].tolist() == scorer.label([k])[0].tolist()
+        assert grid[score.argmax()].tolist() == scorer.label([raws])[0].tolist()
 
 
 def test_held_out_accuracy(finder):
