@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.session import durable
+
 #: Chunks are about this many code points long, at least a quarter of it.
 CHUNK_CHARS = 512
 #: Where the vocabulary files are, and which one; both are parameters of ``encode_corpus``.
@@ -123,7 +125,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     rows = df.select(key, F.monotonically_increasing_id().alias("row"), text)
     full = rows.where(F.col(text) != "")
     bare = rows.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.expr("cast(array() as array<int>)").alias("ids"))
-    units = full.mapInArrow(cut, unit_schema).withColumn("digest", F.unhex(F.md5("unit")))
+    # written once, as both the distinct units and their places are read from it
+    units = durable(full.mapInArrow(cut, unit_schema).withColumn("digest", F.unhex(F.md5("unit"))), "units")
     encoded = units.groupBy("digest").agg(F.first("unit").alias("unit")).mapInArrow(encode, "digest binary, ids array<int>")
     joined = units.select(key, "row", "pos", "digest").join(encoded, "digest")
     whole = joined.groupBy("row").agg(F.first(key).alias(key), F.flatten(F.expr("transform(array_sort(collect_list(struct(pos, ids))), x -> x.ids)")).alias("ids"))
