@@ -38,7 +38,8 @@ def fold(base: DataFrame, ops: DataFrame, keys: list[str], order: list[str], col
 
 def last_writes(ops: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The last row of each key in the given order."""
-    return ops.groupBy(*keys).agg(F.max(F.struct(*order, *columns)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in columns])
+    rest = [c for c in columns if c not in order]
+    return ops.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in columns])
 
 
 def number_versions(events: DataFrame, key: str, order: list[str]) -> DataFrame:
