@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelake.llm.crf import RAW, Crf, Features, tokenize
-from quirelake.llm.pii_labels import STREET_WORDS, SUFFIXES, TITLE_WORDS, labelled_rows
+from quirelake.llm.pii_labels import DIAL_WORDS, ID_WORDS, OTHER_NUMBER_WORDS, STREET_WORDS, SUFFIXES, TITLE_WORDS, labelled_rows
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -31,7 +31,9 @@ LABELLED_ROWS = 4000
 SLICE_CHARS = 400_000
 
 #: Function words that begin or end no name.
-_NO_NAME = frozenset("a an the after before because if in on of is was what does nothing cells range der die das dem den ein eine liegt nach für im bei zu la le les el los las un une une del du des tras si en para con por".split())
+_NO_NAME = frozenset("a an the after before because if in on of is was what does nothing cells range der die das dem den ein eine liegt nach für im bei zu la le les el los las un une une del du des tras si en para con por be been was were ser est sein please for by and or to with et und y lists".split())
+#: Words before a place.
+_BEFORE_PLACES = frozenset("at in near à en nach aus bei".split())
 #: Particles that names are written with in small letters.
 _PARTICLES = frozenset("de la van der den von du del di da le los y".split())
 
@@ -52,7 +54,7 @@ _STREET_SURE = re.compile(rf"(?<!\w){_LETTER}{{3,}}(?:straße|strasse|str\.|gass
 _BEFORE_NAMES = frozenset("as and with by from to von par por et y und à an bei slide owner signed regards".split())
 _GAP = r"(?:[ \t ]+|[ \t]*\r?\n)"
 _NUMBER_FIRST = re.compile(rf"\d{{1,5}} ?[a-z]?(?:{_GAP}(?:bis|ter|quater)\b)?,?(?:{_GAP}(?:{_LETTER}['’])?{_LETTER}[\w'’-]*\.?){{1,6}}", re.I)
-_NUMBER_LAST = re.compile(rf"{_LETTER}[\w'’.-]*(?:/)?(?:{_GAP}{_LETTER}[\w'’.-]*){{0,5}},?{_GAP}(?:(?:núm\.?|nº|no\.?|n°|nr\.?){_GAP}?)?\d{{1,5}}(?: ?[a-z]\b)?", re.I)
+_NUMBER_LAST = re.compile(rf"{_LETTER}(?:[^\W\d]|['’.-])*(?:/)?(?:{_GAP}{_LETTER}(?:[^\W\d]|['’.-])*){{0,5}},?{_GAP}(?:(?:núm\.?|nº|no\.?|n°|nr\.?){_GAP}?)?\d{{1,5}}(?: ?[a-z]\b)?", re.I)
 
 
 def letters_and_digits(text: str) -> str:
@@ -67,7 +69,7 @@ class Finder:
         self.given, self.family = words(given) - _PARTICLES, words(family) - _PARTICLES
         several = [f.casefold().split(" ") for f in family if " " in f]
         self.led = [(" ".join(f[:k]), f[k]) for f in several for k in range(1, len(f))]
-        lexicon = {"given": self.given, "family": self.family, "street": STREET_WORDS, "title": TITLE_WORDS}
+        lexicon = {"given": self.given, "family": self.family, "street": STREET_WORDS, "title": TITLE_WORDS, "dial": DIAL_WORDS, "id": ID_WORDS, "number": OTHER_NUMBER_WORDS}
         texts = []
         for text, spans in labelled_rows(given, family, rows):
             keys, starts, ends = tokenize(text)
@@ -224,7 +226,11 @@ class Finder:
             if not m:
                 return None
             end = min(m.end(), max(b, a + first + 1))
-            # an abbreviation keeps its point out of the key, so the end may stand before it
+            while end < m.end() and re.search(r"(?:^|\s)(?:de|du|des|del|la|los|las|aux|of)$", text[a + first : end], re.I):  # a street does not end there
+                step = re.match(r"\s+\S+", text[end : m.end()])
+                end += step.end() if step else 0
+                if not step:
+                    break
             body = text[a + first : end]
         else:
             m = _NUMBER_LAST.match(text, a + first)
@@ -237,7 +243,7 @@ class Finder:
             body = text[m.start() : end]
             a, first = m.start(), 0
         body = body.rstrip(" \t\r\n,;:|")
-        if re.search(rf"{_LETTER}{{3,}}", body) and re.search(r"\d", body):
+        if re.search(rf"{_LETTER}{{3,}}", body) and re.search(r"\d", body) and body != body.lower():
             return a + first, a + first + len(body)
         return None
 
@@ -251,8 +257,8 @@ class Finder:
             m = re.match(rf"({_LETTER}+)\.?\s+", text[a:b])
             low = m.group(1).casefold() if m else ""
             rest = text[a + m.end() : b].split() if m else []
-            lone = len(low) == 1 and not (len(rest) > 1 and (rest[0][:1].isupper() or rest[0][:1] == rest[0][:1].lower() and m.group(1).islower()) and rest[0].strip(".,").casefold() not in _PARTICLES)
-            if m and (low in _BEFORE_NAMES or low in TITLE_WORDS and not lone):
+            lone = len(low) == 1 and (len(rest) < 2 or rest[0].strip(".,").casefold() in _PARTICLES)
+            if m and (low in _BEFORE_NAMES and len(low) > 1 or low in TITLE_WORDS and not lone):
                 a += m.end()
             else:
                 break
@@ -272,6 +278,13 @@ class Finder:
         if len(words) < 2 or len(words) > 6 or len(words[-1]) < 2 or re.search(r"[\r\n|;:]", text[a:b]):
             return None
         first, last = words[0], words[-1]
+        before = re.search(rf"({_LETTER}+)[ \t]+$", text[max(0, a - 12) : a])
+        if before and before.group(1).casefold() in _BEFORE_PLACES and not all(self._part(w) for w in words if len(w) > 1):
+            return None
+        if first.casefold() in _BEFORE_PLACES:
+            return None
+        if len(first) == 1 and first.isupper() and text[a + 1 : a + 2] == "." and last[:1].isupper():
+            return a, b
         if first.casefold() in _NO_NAME - _PARTICLES or last.casefold() in _NO_NAME or first.islower() and len(first) == 1 and not last.islower():
             return None
         return a, b

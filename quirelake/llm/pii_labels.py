@@ -15,7 +15,7 @@ KINDS = {"name": "name", "email": "email", "phone": "phone", "id": "id_number",
 CASES = [
     # names
     "Signed, {name}", "Owner: {name}", "Prepared by {name}.", "Reviewed with {name} on {sheet}.", "Reviewed with {name} on {sheet}.", "As {name} told {team}, {cell} is final.", "As {name} told {team}, {cell} is final.", "Attendees: {name}; {team}", "{title} {name} left in {month}.",
-    "{title} {name} disagrees with {metric}.", "{name} asked {team} for the {adj} file.", "Name:\t{name}", "Responsable : {name}", "Rédigé par {name}.", "{title} {name} suit le dossier de {place}.",
+    "{title} {name} disagrees with {metric}.", "{name} asked {team} for the {adj} file.", "{name} asked {team} for the {adj} file.", "{name} asked {team} for the {adj} file.", "Name:\t{name}", "Responsable : {name}", "Rédigé par {name}.", "{title} {name} suit le dossier de {place}.",
     "{title} {name} a validé {sheet}.", "Zuständig: {name}", "Erstellt von {name}.", "{title} {name} prüft {sheet}.", "{title} {name} meldet sich aus {place}.", "Preparado por {name}.", "Responsable: {name}",
     "{title} {name} envió el libro.", "{title} {name} firmó {sheet}.", "Regards,\n{name}", "--\n{name}", "Thanks,\n{name}", "Cordialement,\n{name}", "Mit freundlichen Grüßen\n{name}", "Saludos,\n{name}", "{name}", "{name}\n{email}",
     "{name}\n{phone}", "{name}\n{addr}", "{name} | {email}", "{name} | {phone} | {addr}", "{name} | {addr}", "{name};{email}", "{name};{email};{phone}", "| {name} | {email} | {phone} |", "Approved by {name}.", "Contact: {name}", "Employee: {name}",
@@ -43,7 +43,7 @@ OUTSIDE = [
     "Part no. {n3}-{n2}-{n4} replaces {n3}-{n2}-{n4}.", "Will the grace period cover {place}?", "Margins rose in {month} and fell again by {month}.", "Meet in room {n2}, Lane B, after the {month} close.", "Rows {n3}-{n4} hold the archive.", "Amounts: {n1} {n3} {n4}; {n2} {n4}; {n2} {n2} {n2}.",
     "See https://docs.corrow.example/v{n2}/close?id={n4} for steps.", "Ticket INC-{n4}-{n2} is closed; see build {n1}.{n2}.{n2}-rc{n1}.", "Invoice {n4}/{n4}/{n4} waits for {team}.", "Formula =SUM({sheet}!{cell}:{cell})*{n1}.{n4} returns an error.", "The {month}–{month} bridge lives on {sheet}, row {n4}.",
     "Rose gold trim for {product} is out of stock.", "The Bill of materials sits on {sheet}.", "Street parking at {place} costs {num}.", "v0{n2} {op} {sheet}!{cell}:{cell} {num} -> {num}", "v0{n2} {op} {sheet}!{cell}:{cell} {num} -> {num}", "v0{n2} {op} {sheet}!{cell}:{cell} {num} -> {num}", "Street parking at {place} costs {num} EUR.", "May and June close on {sheet}.", "Order no. {n3}-{n2}-{n4} ships from {place}.", "Case {n3}-{n3}-{n4} was reopened.",
-    "{place} reported {metric} of {num} USD, against a plan of {num} k.", "Costs at {place} rose by {n2}.{n1}% while {metric} barely moved.", "{product} ships to {place} in {month}; {team} wants the {adj} forecast first.", "The footer says {month} 20{n2}, the header says {month}, and neither matches {sheet}.",
+    "{place} reported {metric} of {num} USD, against a plan of {num} k.", "Costs at {place} rose by {n2}.{n1}% while {metric} barely moved.", "Costs at {place} rose by {n2}.{n1}% while {metric} barely moved.", "{product} ships to {place} in {month}; {team} wants the {adj} forecast first.", "The footer says {month} 20{n2}, the header says {month}, and neither matches {sheet}.",
     "Keep the {adj} rate at {n2}.{n1}% until {place} confirms its {month} count.", "Version {n2} of the workbook was reverted after {team} flagged the merge at {cell}:{cell}.", "Nothing in {sheet} depends on {cell} any more, so the row can go.", "By {month} 20{n2} the {sheet} tab should carry one line per site, {place} included.",
     "After the last apply, {n2} dependents of {cell} on {sheet} came back empty.", "Please read page {n2} of the form before you touch the {adj} totals.", "If {metric} stays under {n2}.{n1}%, {team} will close the {product} line in {month}.", "The deck for {place} repeats slide {n2} twice, and its notes quote {num} EUR instead of {num}.",
     "Range {cell}:{cell} still points at the {adj} inputs; nobody has re-linked it since {month}.", "Search for the {adj} label returned {n2} hits, most of them in old views.", "We moved {metric} from {sheet} to {sheet} so that the {adj} view ties out.", "A named range called {product} feeds {sheet}!{cell}, which in turn drives {metric}.",
@@ -85,6 +85,10 @@ STREET_WORDS = frozenset(
     "street st road rd avenue ave blvd boulevard lane ln drive dr close row court ct way terrace square hill place rue chemin quai impasse allée cours bis ter calle plaza avenida avda paseo camino straße strasse str weg gasse platz am n s e w núm".split()
 )
 TITLE_WORDS = frozenset("ms mr mrs dr herr frau mme m don doña sra sr prof señora señor".split())
+#: Words that announce a number of their kind, or one that is none; groups of the lexicon.
+DIAL_WORDS = frozenset("tel tél telefon téléphone phone mobile mobil portable móvil fax call ring appeler rappeler llamar rückruf desk line cell".split())
+ID_WORDS = frozenset("ssn social security national passport taxpayer dni nie nif nir steuer personalausweis reisepassnummer passeport pasaporte sécurité sociale id tax identity".split())
+OTHER_NUMBER_WORDS = frozenset("part purchase order lot serial batch invoice ticket rows amounts case build checksum version row page slide version folie diapositive".split())
 SUFFIXES = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ring")
 
 
