@@ -31,7 +31,7 @@ _LOCAL = "grp string, node string, parent string, w bigint, exit string, dist bi
 
 def links(df: DataFrame, group: str, child: str, parent: str, is_link: F.Column) -> DataFrame:
     """(grp, node, parent): each node once, its parent null at a root. Ids are trimmed and in lower case."""
-    clean = lambda c: F.lower(F.trim(F.col(c)))
+    clean = lambda c: F.lower(F.btrim(F.col(c), F.lit(" \t\r\n")))
     rows = df.select(F.col(group).alias("grp"), clean(child).alias("node"), F.when(is_link, clean(parent)).alias("parent"))
     rows = rows.withColumn("parent", F.when(F.col("parent") != "", F.col("parent")))
     both = rows.select("grp", F.explode(F.array(F.struct("node", "parent"), F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))).alias("x")).select("grp", "x.node", "x.parent")

@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where the session names none (tests on one machine) is a temporary folder made and remembered.
     """
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quirelake.shared.dir", "")
+    place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quirelake.shared.dir", "")
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="quirelake-")
         spark.conf.set("quirelake.shared.dir", place)
@@ -30,11 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quirelake/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove what ``durable`` wrote for this application; to be called when its results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """How many partitions hold ``rows`` with at most about ``per_partition`` each; at least the session's parallelism."""
     floor = max(1, spark.sparkContext.defaultParallelism)
