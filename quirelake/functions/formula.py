@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +126,26 @@ def references_udf(formulas: pd.Series) -> pd.Series:
     return formulas.map(references)
 
 
+def parsed(df: DataFrame, keys: list[str], formula: str) -> DataFrame:
+    """(keys, kind, sheet, r1, c1, r2, c2, name): a row for each reference and name of each formula, without dictionaries on the way."""
+    inner = REFERENCE_TYPE.elementType.fields
+    schema = T.StructType([df.schema[k] for k in keys] + list(inner))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                seen = {("name", None, None, None, None, None, x.name) if isinstance(x, Name) else ("ref", x.sheet, x.r1, x.c1, x.r2, x.c2, None) for x in scan(text)}
+                at += [i] * len(seen)
+                rows += seen
+            if rows:
+                take = pa.array(at, pa.int64())
+                columns = [pa.array(c, pa.int32() if f.name[1:].isdigit() else pa.string()) for c, f in zip(zip(*rows), inner)]
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in range(len(keys))] + columns, names=schema.names)
+
+    return df.where(F.col(formula).isNotNull()).select(*keys, formula).mapInArrow(run, schema)
+
+
 def rewrite(formula: str, move: Callable[[Reference], str | None]) -> str:
     """The formula with each reference replaced by what ``move`` gives; None leaves it."""
     out, last = [], 0

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions import a1
-from quirelake.functions.formula import references_udf
+from quirelake.functions.formula import parsed, references_udf
+from quirelake.session import durable
 
 ROW_BLOCK, COL_BLOCK, WIDE_BLOCKS = 64, 16, 256
 
@@ -23,10 +24,11 @@ def formula_edges(cells: DataFrame, names: DataFrame) -> DataFrame:
     that exists is an ``element`` edge, any other a ``selector``; a name that is defined gives the sheet-qualified
     references of its formula, or a ``named_range`` edge if there are none; unknown names give nothing.
     """
-    used = cells.where(F.col("formula").isNotNull()).select("object_path", F.col("element_id").alias("from_id"), F.col("sheet").alias("own"), F.explode(references_udf("formula")).alias("x"))
-    direct = used.where("x.kind = 'ref'").select("object_path", "from_id", F.coalesce("x.sheet", "own").alias("sheet"), "x.r1", "x.c1", "x.r2", "x.c2")
+    # formulas are read once: both kinds of targets come from what is written here
+    used = durable(parsed(cells.select("object_path", F.col("element_id").alias("from_id"), F.col("sheet").alias("own"), "formula"), ["object_path", "from_id", "own"], "formula"), "references")
+    direct = used.where("kind = 'ref'").select("object_path", "from_id", F.coalesce("sheet", "own").alias("sheet"), "r1", "c1", "r2", "c2")
     known = names.select("object_path", F.upper("name").alias("key"), F.col("name").alias("defined"), F.filter(references_udf("formula"), lambda r: (r.kind == "ref") & r.sheet.isNotNull()).alias("refs"))
-    by_name = used.where("x.kind = 'name'").select("object_path", "from_id", F.upper("x.name").alias("key")).distinct().join(known, ["object_path", "key"])
+    by_name = used.where("kind = 'name'").select("object_path", "from_id", F.upper("name").alias("key")).distinct().join(known, ["object_path", "key"])
     through = by_name.select("object_path", "from_id", F.explode("refs").alias("r")).select("object_path", "from_id", "r.sheet", "r.r1", "r.c1", "r.r2", "r.c2")
     bare = by_name.where(F.size("refs") == 0).select("object_path", "from_id", F.lit("named_range").alias("target_kind"), F.lit(None).cast("string").alias("target_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("sheet", "string"), ("r1", "int"), ("c1", "int"), ("r2", "int"), ("c2", "int"))], F.col("defined").alias("name"))
     rectangles = direct.unionByName(through).withColumn("key", F.upper("sheet")).distinct()
