@@ -203,10 +203,11 @@ def ancestors(nodes: DataFrame, solved: DataFrame) -> DataFrame:
     up = durable(nodes.where("parent is not null").join(trees.where("node_depth > 0").select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", F.col("parent").alias("up")), "up")
     pairs, step, ptr = up.select("grp", F.col("up").alias("ancestor"), "node", F.lit(1).alias("distance")), 1, up
     while step < deepest:
-        longer = pairs.join(ptr.select("grp", F.col("node").alias("ancestor"), F.col("up").alias("further")), ["grp", "ancestor"]).select("grp", F.col("further").alias("ancestor"), "node", (F.col("distance") + step).alias("distance"))
-        pairs = durable(pairs.unionByName(longer), "pairs")
+        # only what is new is written: the pairs at distances above ``step`` and up to twice it
+        longer = durable(pairs.join(ptr.select("grp", F.col("node").alias("ancestor"), F.col("up").alias("further")), ["grp", "ancestor"]).select("grp", F.col("further").alias("ancestor"), "node", (F.col("distance") + step).alias("distance")), "pairs")
+        pairs = pairs.unionByName(longer)
         step *= 2
-        ptr = pairs.where(F.col("distance") == step).select("grp", "node", F.col("ancestor").alias("up"))
+        ptr = longer.where(F.col("distance") == step).select("grp", "node", F.col("ancestor").alias("up"))
     return pairs if deepest else spark.createDataFrame([], pairs.schema)
 
 

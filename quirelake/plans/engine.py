@@ -471,6 +471,24 @@ class Workspace:
                 raise WorkspaceError("apply_all_partial", f"applied {out}, {row.tx_id} failed: {error}") from error
         return out
 
+    def recover(self) -> int:
+        """Finish what an interruption left: files whose history says one thing and whose index says another are read again."""
+        heads = versions.last_writes(self.table("history"), ["object_path"], ["version"], ["after_hash"])
+        known = self.objects().select("object_path", "source_hash")
+        late = heads.join(known, "object_path").where("after_hash <> source_hash").select("object_path")
+        return sum(self.refresh(glob=r.object_path) for r in late.toLocalIterator())
+
+    def close(self, flush: bool = True) -> dict[str, str]:
+        """Apply what is staged, file by file, as far as it goes; what failed, by file."""
+        failed: dict[str, str] = {}
+        if flush:
+            for row in self.staged().select("object_path").distinct().collect():
+                try:
+                    self.apply_all(row.object_path)
+                except WorkspaceError as error:
+                    failed[row.object_path] = str(error)
+        return failed
+
     def discard(self, path: str, tx_id: str) -> None:
         row = self._staged_rows().where((F.col("tx_id") == tx_id) & (F.col("state") == "staged") & (F.col("object_path") == path)).first()
         if row is None:

@@ -104,3 +104,20 @@ def test_write_back_of_the_other_formats(ws, tmp_path):
         ws.apply("c.docx", "x5")
     with pytest.raises(writers.NotWritable):
         writers.patch_pdf(form(), {"Nope": {"value": "x"}})
+
+
+def test_command_line_and_close(ws, spark, tmp_path, capsys):
+    import json
+
+    from quirelake.__main__ import main
+
+    call = lambda *a: (main(["--json", "--folder", str(tmp_path), *a], spark), json.loads((lambda o: o.out or o.err)(capsys.readouterr())))
+    assert call("init")[1]["parsed"] == 4
+    assert call("read", "c.docx", "--selector", "paragraphs", "0:1")[1]["content"] == "Title"
+    code, answer = call("read", "nope.docx")
+    assert code == 1 and answer["code"] == "invalid_source_path"
+    assert call("edit", "c.docx", "set_paragraph_text", '{"index": 0, "text": "New"}', "--tx", "z1")[1]["tx_id"] == "z1"
+    assert [r["tx_id"] for r in call("staged")[1]] == ["z1"]
+    assert ws.close() == {} and call("history", "c.docx")[1][0]["tx_id"] == "z1" and call("diff", "c.docx", "1")[1][0]["target"] == "0"
+    assert call("search", "New")[1] and call("viz")[1]["parts"] > 3 and ws.recover() == 0
+    assert {r["path"] for r in call("status")[1]} == {"a/b.xlsx", "c.docx", "d.pptx", "e.pdf"}
