@@ -31,7 +31,7 @@ LABELLED_ROWS = 4000
 SLICE_CHARS = 400_000
 
 #: Function words that begin or end no name.
-_NO_NAME = frozenset("a an the after before because if in on of is was what does nothing cells range der die das dem den ein eine liegt nach für im bei zu la le les el los las un une une del du des tras si en para con por be been was were ser est sein please for by and or to with et und y lists".split())
+_NO_NAME = frozenset("a an the after before because if in on of is was what does nothing cells range der die das dem den ein eine liegt nach für im bei zu la le les el los las un une une del du des tras si en para con por be been was were ser est sein please for by and or to with et und y lists wohnhaft welche which per regards owner signed".split())
 #: Words before a place.
 _BEFORE_PLACES = frozenset("at in near à en nach aus bei".split())
 #: Particles that names are written with in small letters.
@@ -187,6 +187,8 @@ class Finder:
         return part[0] in "(01" or n == 10 or n == 9 and part[0] in "6789"
 
     def _id_number(self, text: str, a: int, b: int):
+        if a > 1 and text[a - 1] == ":" and text[a - 2].isalnum():  # the end of a range of cells
+            return None
         grouped = self._around(_ID_GROUPED, text, a, b, 24)
         if grouped:
             return grouped.span()
@@ -267,6 +269,13 @@ class Finder:
             if word == head.group().casefold() and text[max(0, a - len(lead) - 1) : a].casefold() == lead + " ":
                 a -= len(lead) + 1
                 break
+        more = re.match(rf"(?:-{_LETTER}+)+", text[b : b + 40])  # a double name is whole
+        b += more.end() if more else 0
+        lead = re.match(rf"{_LETTER}+", text[a:b])
+        if lead and lead.group().casefold() in _PARTICLES:  # what begins with a particle lacks its given name
+            given = re.search(rf"(?<![\w'’-])({_NAME_WORD})(?: {_LETTER}\.)? $", text[max(0, a - 40) : a])
+            if given and self._part(given.group(1)):
+                a = max(0, a - 40) + given.start()
         if len(re.findall(_NAME_WORD, text[a:b])) == 1:
             after = re.match(rf"(?:,? (?:{_LETTER}\. )?)({_NAME_WORD})", text[b : b + 40])
             before = re.search(rf"({_NAME_WORD}|{_LETTER}\.),? $", text[max(0, a - 40) : a])
