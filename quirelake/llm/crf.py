@@ -86,8 +86,39 @@ class Crf:
 
     # ---- fitting
 
-    def fit(self, texts: list[tuple[list[str], list[int]]], steps: int = 90, rate: float = 0.12, l2: float = 0.02, rare: int = 2) -> Crf:
-        """Maximum likelihood with an L2 prior, whole-batch Adam. texts: keys and label numbers of each."""
+    def fit(self, texts: list[tuple[list[str], list[int]]], steps: int = 120, rate: float = 0.12, l2: float = 0.02, rare: int = 2, batch: int = 2500) -> Crf:
+        """Maximum likelihood with an L2 prior, by Adam over batches of texts in turn. texts: keys and label numbers of each."""
+        n_labels = len(self.labels)
+        listed = {k: self.features.of(k) for k in {PAD} | {k for keys, _ in texts for k in keys}}
+        count: dict[str, int] = {}
+        for keys, _ in texts:
+            for k in keys:
+                for f in listed[k]:
+                    count[f] = count.get(f, 0) + 1
+        kept = {f for f, c in count.items() if c >= rare or not f.startswith("w:")} | {f for f in listed[PAD]}
+        self.index = {f: i for i, f in enumerate(sorted(kept))}
+        shapes = {k: shape(k[1:]) if k != PAD else PAD for k in listed}
+        self.pairs = {p: i for i, p in enumerate(sorted({(shapes[x], shapes[y]) for keys, _ in texts for x, y in zip([PAD, *keys], keys)}))}
+        folds = -(-len(texts) // batch)
+        parts = [self._part(texts[k::folds], listed, shapes) for k in range(folds)]
+        params = [np.zeros((len(OFFSETS), len(self.index), n_labels), np.float32), np.zeros((len(self.pairs), n_labels), np.float32), np.zeros((n_labels, n_labels), np.float32)]
+        m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        for step in range(1, steps + 1):
+            part = parts[step % folds]
+            grads = self._gradient(part, params)
+            now = rate * min(1.0, 3 * (1 - step / (steps + 1)))
+            for p, g, a, b in zip(params, grads, m1, m2):
+                g = g / part["texts"] + l2 * p / len(texts) * 10
+                a *= 0.9
+                a += 0.1 * g
+                b *= 0.99
+                b += 0.01 * g * g
+                p -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+        self.w, self.pw, self.trans = params
+        return self
+
+    def _part(self, texts: list[tuple[list[str], list[int]]], listed: dict[str, list[str]], shapes: dict[str, str]) -> dict:
+        """A batch in arrays: keys by number, their features in both orders, and texts as rows of a grid, the longest first."""
         n_labels = len(self.labels)
         flat: list[str] = []
         spans = []
@@ -99,73 +130,48 @@ class Crf:
         names = sorted(set(flat))
         number = {k: i for i, k in enumerate(names)}
         uid = np.array([number[k] for k in flat])
-        listed = [self.features.of(k) for k in names]
-        count: dict[str, int] = {}
-        per_key = np.bincount(uid, minlength=len(names))
-        for k, feats in enumerate(listed):
-            for f in feats:
-                count[f] = count.get(f, 0) + int(per_key[k])
-        self.index = {f: i for i, f in enumerate(sorted(f for f, c in count.items() if c >= rare or not f.startswith("w:")))}
-        phi = np.zeros((len(names), len(self.index)), np.float32)
-        for k, feats in enumerate(listed):
-            for f in feats:
-                if f in self.index:
-                    phi[k, self.index[f]] = 1
-        shapes = [shape(k[1:]) if k != PAD else PAD for k in flat]
-        pair_names = list(zip(shapes, shapes[1:]))
-        self.pairs = {p: i for i, p in enumerate(sorted(set(pair_names)))}
-        pair = np.array([0] + [self.pairs[p] for p in pair_names])
-
         at = np.concatenate([np.arange(a, b) for a, b in spans])
         gold = np.concatenate([np.array(y) for _, y in texts])
         lengths = np.array([b - a for a, b in spans])
-        order = np.argsort(-lengths, kind="stable")
+        first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         width = int(lengths.max())
         grid = np.full((len(texts), width), -1, np.int64)
-        first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        for row, k in enumerate(order):
+        for row, k in enumerate(np.argsort(-lengths, kind="stable")):
             grid[row, : lengths[k]] = first[k] + np.arange(lengths[k])
-        live = [(int((grid[:, t] >= 0).sum())) for t in range(width)]
-
-        w = np.zeros((len(OFFSETS), len(self.index), n_labels), np.float32)
-        params = [w, np.zeros((len(self.pairs), n_labels), np.float32), np.zeros((n_labels, n_labels), np.float32)]
-        m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        total = len(at)
         gold_trans = np.zeros((n_labels, n_labels), np.float32)
-        for a, n in zip(first, lengths):
-            np.add.at(gold_trans, (gold[a : a + n - 1], gold[a + 1 : a + n]), 1)
-        one_hot = np.zeros((total, n_labels), np.float32)
-        one_hot[np.arange(total), gold] = 1
-        keys_at = [uid[at + off] for off in OFFSETS]
-        pairs_at = pair[at]
-        for step in range(1, steps + 1):
-            z = np.einsum("kf,ofl->okl", phi, params[0], optimize=True)
-            e = params[1][pairs_at].copy()
-            for o, ks in enumerate(keys_at):
-                e += z[o][ks]
-            marginals, expected = self._marginals(e, params[2], grid, live)
-            d = marginals - one_hot
-            grads = []
-            dz = np.zeros((len(OFFSETS), len(names), n_labels), np.float32)
-            for o, ks in enumerate(keys_at):
-                for label in range(n_labels):
-                    dz[o, :, label] = np.bincount(ks, d[:, label], len(names))
-            grads.append(np.einsum("kf,okl->ofl", phi, dz, optimize=True))
-            dp = np.zeros_like(params[1])
-            for label in range(n_labels):
-                dp[:, label] = np.bincount(pairs_at, d[:, label], len(self.pairs))
-            grads.append(dp)
-            grads.append(expected - gold_trans)
-            now = rate * min(1.0, 3 * (1 - step / (steps + 1)))
-            for p, g, a, b in zip(params, grads, m1, m2):
-                g = g / len(texts) + l2 * p / len(texts) * 10
-                a *= 0.9
-                a += 0.1 * g
-                b *= 0.99
-                b += 0.01 * g * g
-                p -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-        self.w, self.pw, self.trans = params
-        return self
+        inner = np.ones(len(at) - 1, bool)
+        inner[first[1:] - 1] = False
+        np.add.at(gold_trans, (gold[:-1][inner], gold[1:][inner]), 1)
+        one_hot = np.zeros((len(at), n_labels), np.float32)
+        one_hot[np.arange(len(at)), gold] = 1
+        keys_of = np.array([k for k, name in enumerate(names) for f in listed[name] if f in self.index])
+        features_of = np.array([self.index[f] for name in names for f in listed[name] if f in self.index])
+        order = np.argsort(features_of, kind="stable")
+        used, feature_starts = np.unique(features_of[order], return_index=True)
+        return {
+            "texts": len(texts), "names": len(names), "one_hot": one_hot, "gold_trans": gold_trans, "grid": grid, "live": (grid >= 0).sum(0).tolist(), "keys_at": [uid[at + off] for off in OFFSETS],
+            "pairs_at": np.array([self.pairs.get((shapes[flat[i - 1]], shapes[flat[i]]), 0) for i in at.tolist()]), "features_of": features_of, "key_starts": np.searchsorted(keys_of, np.arange(len(names))),
+            "keys_by_feature": keys_of[order], "used": used, "feature_starts": feature_starts,
+        }
+
+    def _gradient(self, part: dict, params: list[np.ndarray]) -> list[np.ndarray]:
+        n_labels, n_offsets = len(self.labels), len(OFFSETS)
+        weights = np.ascontiguousarray(params[0].transpose(1, 0, 2)).reshape(len(self.index), -1)
+        z = np.add.reduceat(weights[part["features_of"]], part["key_starts"], axis=0).reshape(part["names"], n_offsets, n_labels)
+        e = params[1][part["pairs_at"]].copy()
+        for o, keys in enumerate(part["keys_at"]):
+            e += z[keys, o]
+        marginals, expected = self._marginals(e, params[2], part["grid"], part["live"])
+        d = marginals - part["one_hot"]
+        dz = np.zeros((part["names"], n_offsets, n_labels), np.float32)
+        for label in range(n_labels):
+            column = np.ascontiguousarray(d[:, label])
+            for o, keys in enumerate(part["keys_at"]):
+                dz[:, o, label] = np.bincount(keys, column, part["names"])
+        dw = np.zeros((len(self.index), n_offsets * n_labels), np.float32)
+        dw[part["used"]] = np.add.reduceat(dz.reshape(part["names"], -1)[part["keys_by_feature"]], part["feature_starts"], axis=0)
+        dp = np.stack([np.bincount(part["pairs_at"], d[:, label], len(self.pairs)) for label in range(n_labels)], 1).astype(np.float32)
+        return [dw.reshape(len(self.index), n_offsets, n_labels).transpose(1, 0, 2), dp, expected - part["gold_trans"]]
 
     @staticmethod
     def _marginals(e: np.ndarray, trans: np.ndarray, grid: np.ndarray, live: list[int]) -> tuple[np.ndarray, np.ndarray]:

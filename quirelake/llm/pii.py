@@ -26,7 +26,7 @@ from quirelake.llm.pii_labels import DIAL_WORDS, ID_WORDS, OTHER_NUMBER_WORDS, S
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 #: Rows of the labelled table.
-LABELLED_ROWS = 4000
+LABELLED_ROWS = 10_000
 #: Code points decoded at once in a task.
 SLICE_CHARS = 400_000
 
@@ -64,7 +64,7 @@ def letters_and_digits(text: str) -> str:
 class Finder:
     """The fitted model with the exact checks; made on the driver, sent to the tasks."""
 
-    def __init__(self, given: list[str], family: list[str], rows: int = LABELLED_ROWS, steps: int = 90) -> None:
+    def __init__(self, given: list[str], family: list[str], rows: int = LABELLED_ROWS, steps: int = 120) -> None:
         words = lambda parts: frozenset(w.casefold() for p in parts for w in re.findall(_LETTER + "+(?:['’]" + _LETTER + "+)*", p))
         self.given, self.family = words(given) - _PARTICLES, words(family) - _PARTICLES
         several = [f.casefold().split(" ") for f in family if " " in f]
