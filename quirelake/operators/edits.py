@@ -482,6 +482,19 @@ def _formulas(cells: DataFrame, per_object: DataFrame, work) -> DataFrame:
     return same.unionByName(changed)
 
 
+def _unshiftable(tables: Tables, one: DataFrame) -> DataFrame:
+    """Errors for shifts of sheets that hold what does not follow them: features of the sheet, and names that point at it."""
+    empty = one.limit(0).select("op_id", "object_path", F.lit("rejected").alias("code"), F.lit("").alias("message"))
+    if "features" in tables:
+        held = one.join(tables["features"], "object_path").where(F.col("sheet").isNull() | F.expr(same_ci("sheet", "_sheet")))
+        empty = empty.unionByName(held.groupBy("op_id", "object_path").agg(F.concat(F.lit("the sheet holds "), F.array_join(F.sort_array(F.collect_set("feature")), ", ")).alias("message")).withColumn("code", F.lit("rejected")))
+    if "named_ranges" in tables:
+        mention = F.pandas_udf(lambda f, s: f.__class__([drop_sheet(x, y) != x for x, y in zip(f, s)]), "boolean")
+        named = one.join(tables["named_ranges"].where("formula is not null"), "object_path").where(mention("formula", "_sheet"))
+        empty = empty.unionByName(named.groupBy("op_id", "object_path").agg(F.concat(F.lit("names point at the sheet: "), F.array_join(F.sort_array(F.collect_set("name")), ", ")).alias("message")).withColumn("code", F.lit("rejected")))
+    return empty
+
+
 def _apply_axis(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Applied:
     """Rows or columns come or go: cells move, formulas on all sheets follow; one operation an object and batch (the last)."""
     axis, insert = kind.options["axis"], bool(kind.options["insert"])
@@ -489,6 +502,9 @@ def _apply_axis(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Applie
     placed = ops.join(sheets.select("object_path", F.col("name").alias("_sheet")), "object_path").where(F.expr(same_ci("_sheet", "p.sheet")))
     lost = ops.join(placed.select("op_id"), "op_id", "left_anti").select("op_id", "object_path", F.lit("not_found").alias("code"), F.lit("no such sheet").alias("message"))
     one = placed.groupBy("object_path").agg(F.max_by(F.struct("op_id", "_sheet", F.col("p.at").alias("at"), F.coalesce("p.count", F.lit(1)).alias("n")), "op_id").alias("m")).select("object_path", "m.op_id", F.col("m._sheet").alias("_sheet"), F.col("m.at").alias("_at"), F.col("m.n").alias("_n"))
+    fixed = _unshiftable(tables, one)
+    one = one.join(fixed.select("op_id").distinct(), "op_id", "left_anti")
+    lost = lost.unionByName(fixed)
     most = a1.MAX_ROWS if axis == "row" else a1.MAX_COLS
     if insert:
         tail = cells.join(one, "object_path").where((F.col("sheet") == F.col("_sheet")) & (F.col(axis) >= F.col("_at")) & (F.col(axis) + F.col("_n") > most))

@@ -171,7 +171,7 @@ class Workspace:
 
     def _entities(self, path: str, fmt: str, digest: str) -> edits.Tables:
         rows = self.table("models").where((F.col("object_path") == path) & (F.col("source_hash") == digest)).dropDuplicates(["entity", "entity_no"])
-        wanted = {"xlsx": ("sheets", "cells", "named_ranges", "annotations"), "docx": ("paragraphs", "story_paragraphs", "annotations"), "pptx": ("slides", "shapes", "slide_table_cells", "annotations"), "pdf": ("pages", "fields", "pdf_documents", "annotations")}[fmt]
+        wanted = {"xlsx": ("sheets", "cells", "named_ranges", "annotations", "features"), "docx": ("paragraphs", "story_paragraphs", "annotations"), "pptx": ("slides", "shapes", "slide_table_cells", "annotations"), "pdf": ("pages", "fields", "pdf_documents", "annotations")}[fmt]
         return {name: files.entity(rows, name).cache() for name in wanted}
 
     # ---- questions

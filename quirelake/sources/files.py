@@ -27,6 +27,7 @@ TABLES = {
     "cells": "element_id string, sheet string, address string, row int, col int, kind string, v_str string, v_num double, v_int bigint, v_bool boolean, formula string, style_id string, number_format string",
     "named_ranges": "element_id string, name string, formula string",
     "styles": "style_id string",
+    "features": "sheet string, feature string",
     "annotations": "element_id string, kind string, container string, anchor string, author string, text string",
     "paragraphs": "element_id string, idx int, outline_level int, style_id string, text string, editable boolean, in_table boolean",
     "story_paragraphs": "element_id string, story string, part string, idx int, outline_level int, style_id string, text string, editable boolean, in_table boolean",

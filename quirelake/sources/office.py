@@ -93,7 +93,7 @@ def _rich(node: ET.Element | None) -> str:
 
 
 def parse_xlsx(blob: bytes) -> Rows:
-    out: Rows = {k: [] for k in ("sheets", "cells", "named_ranges", "styles", "annotations", "merges")}
+    out: Rows = {k: [] for k in ("sheets", "cells", "named_ranges", "styles", "annotations", "features")}
     with zipfile.ZipFile(io.BytesIO(blob)) as z:
         book_part = _first(z, "", "officeDocument") or "xl/workbook.xml"
         book, rels = _xml(z, book_part), _relations(z, book_part)
@@ -145,6 +145,8 @@ def parse_xlsx(blob: bytes) -> Rows:
                 "tab_color": tab.get("rgb") if tab is not None else None, "auto_filter": auto.get("ref") if auto is not None else None, "page_orientation": setup.get("orientation") if setup is not None else None,
             })
             _xlsx_annotations(z, part, title, out)
+            _xlsx_features(z, part, root, title, out)
+        _xlsx_pivots(z, book_part, out)
         out["styles"] = [{"style_id": f"{n}"} for n in sorted(used) if n]
     return out
 
@@ -220,6 +222,36 @@ def _xlsx_annotations(z: zipfile.ZipFile, part: str, sheet: str, out: Rows) -> N
                     out["annotations"].append({"kind": "picture", "container": sheet, "anchor": inner, "author": None, "text": None, "element_id": element_id_of("picture", sheet, inner)})
 
 
+#: Parts of a sheet that hold places of their own, which shifts of rows and columns do not follow.
+PLACED = ("autoFilter", "dataValidations", "conditionalFormatting", "hyperlinks", "rowBreaks", "colBreaks")
+
+
+def _xlsx_features(z: zipfile.ZipFile, part: str, root: ET.Element, sheet: str, out: Rows) -> None:
+    """What makes a sheet one whose rows and columns are not shifted."""
+    found = [tag for tag in PLACED if root.find(S + tag) is not None]
+    found += sorted({f.get("t") + "_formula" for f in root.iter(S + "f") if f.get("t") in ("shared", "array", "dataTable")})
+    for kind, target in _relations(z, part).values():
+        if kind == "table":
+            found.append("table")
+        elif kind == "drawing":
+            found += ["chart" for sub, _ in _relations(z, target).values() if sub == "chart"]
+        elif kind == "pivotTable":
+            found.append("pivot_table")
+    out["features"] += [{"sheet": sheet, "feature": f} for f in dict.fromkeys(found)]
+
+
+def _xlsx_pivots(z: zipfile.ZipFile, book_part: str, out: Rows) -> None:
+    """Sheets that pivot tables take their data from; a source that names no sheet concerns all of them."""
+    for kind, target in _relations(z, book_part).values():
+        root = _xml(z, target) if kind == "pivotCacheDefinition" else None
+        for source in root.iter(S + "worksheetSource") if root is not None else ():
+            sheet = source.get("sheet")
+            if sheet is None:
+                named = next((n["formula"] for n in out["named_ranges"] if n["name"].casefold() == (source.get("name") or "").casefold()), None)
+                sheet = next((x.sheet for x in fx.scan(named or "") if isinstance(x, fx.Reference) and x.sheet), None)
+            out["features"].append({"sheet": sheet, "feature": "pivot_source"})
+
+
 # ---- word processing
 
 #: Content that makes a paragraph one that is not edited.

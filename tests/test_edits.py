@@ -34,7 +34,8 @@ def tables(spark):
     xlsx = {
         "sheets": [{"element_id": "s1", "name": "Inputs", "idx": 0, "rows": 3, "cols": 2, "hidden": False, "merges": ["D1:E2"]}, {"element_id": "s2", "name": "Summary", "idx": 1, "rows": 2, "cols": 2, "hidden": False, "merges": []}, {"element_id": "s3", "name": "Free", "idx": 2, "rows": 0, "cols": 0, "hidden": False, "merges": []}],
         "cells": [cell("Inputs", "A1", 1, 1, v_num=1.0), cell("Inputs", "A2", 2, 1, v_num=2.0), cell("Inputs", "B2", 2, 2, v_num=4.0, formula="=A2*2"), cell("Inputs", "A3", 3, 1, v_num=3.0), cell("Summary", "A1", 1, 1, v_num=2.0, formula="=Inputs!A2+SUM(Inputs!A1:A3)")],
-        "named_ranges": [{"element_id": "n1", "name": "TaxRate", "formula": "Inputs!$A$1"}],
+        "named_ranges": [{"element_id": "n1", "name": "TaxRate", "formula": "Free!$A$1"}],
+        "features": [{"sheet": "Summary", "feature": "autoFilter"}],
         "annotations": [{"element_id": "x1", "kind": "comment", "container": "Inputs", "anchor": "A1", "author": "Bo", "text": "old"}],
     }
     par = lambda i, text, **k: {"element_id": f"p{i}", "idx": i, "text": text, "editable": True, "in_table": False} | k
@@ -118,6 +119,13 @@ def test_cells_and_axes(spark, tables):
     assert rows(done.tables["cells"], "sheet", "address", "formula") == [("Inputs", "A1", None), ("Inputs", "A2", None), ("Summary", "A1", "=#REF!+SUM(Inputs!A1:A2)")] or rows(done.tables["cells"].where("formula is not null"), "formula") == [("=#REF!+SUM(Inputs!A1:A2)",)]
 
 
+def test_shifts_that_are_refused(spark, tables):
+    done = run(spark, tables, "xlsx", "insert_row", {"sheet": "summary", "at": 1})
+    assert [r.message for r in done.errors.collect()] == ["the sheet holds autoFilter"] and done.diff.count() == 0
+    done = run(spark, tables, "xlsx", "delete_column", {"sheet": "Free", "at": 1})
+    assert [r.message for r in done.errors.collect()] == ["names point at the sheet: TaxRate"]
+
+
 def test_sheets_and_merges(spark, tables):
     done = run(spark, tables, "xlsx", "rename_sheet", {"from": "inputs", "to": "In puts"})
     assert rows(done.tables["cells"].where("sheet = 'Summary'"), "formula") == [("='In puts'!A2+SUM('In puts'!A1:A3)",)]

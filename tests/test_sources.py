@@ -111,6 +111,7 @@ def test_workbook():
     assert cells["A3"]["kind"] == "datetime" and cells["A3"]["v_str"] == "2024-01-01T12:00:00"
     assert cells["B3"]["number_format"] == "$#,##0.00" and cells["B3"]["style_id"] == "2" and cells["D3"]["v_bool"] is True
     assert (cells["C3"]["kind"], cells["C3"]["formula"], cells["C4"]["formula"], cells["C4"]["v_num"]) == ("empty", "=B3*TaxRate", "=B4*TaxRate", 2.5)
+    assert got["features"] == [{"sheet": "Inputs", "feature": "shared_formula"}]
     first, second = got["sheets"]
     assert (first["rows"], first["cols"], first["merges"], first["freeze_panes"], first["zoom"], first["show_gridlines"]) == (4, 6, ["A1:B1"], "A2", 90, False) and second["hidden"]
     assert [n["name"] for n in got["named_ranges"]] == ["TaxRate"] and got["annotations"][0]["text"] == "why" and [s["style_id"] for s in got["styles"]] == ["1", "2"]
