@@ -48,7 +48,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(text: str) -> list[str]:
     """Words as the eye reads them, without case."""
-    return _WORD.findall(look_form(look_form(text).casefold()))
+    folded = look_form(text).casefold()
+    return _WORD.findall(folded if folded.isascii() else look_form(folded))
 
 
 def template_of(word: str, names: frozenset[str]) -> str:
@@ -111,14 +112,16 @@ class Matcher:
         if len(code) > 500_000:  # rare words of a long task; the cache starts again
             code.clear()
             hashes.clear()
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            c = code.get(w)
+        get = code.get
+        out = [get(w) for w in words]
+        for i in [i for i, c in enumerate(out) if c is None]:
+            w = words[i]
+            c = get(w)
             if c is None:
                 c = code[w] = len(hashes)
                 hashes.append(xxh64_intdigest(template_of(w, names)))
             out[i] = c
-        return out
+        return np.array(out, np.int64)
 
     def values(self, words: list[str]) -> np.ndarray:
         codes = self.codes(words)

@@ -13,6 +13,7 @@ cannot occur between different texts; a hot class is joined on distinct texts fi
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -82,9 +83,13 @@ def table() -> dict[int, str]:
 
 
 
+#: Controls that are mapped; line feeds are not.
+_CONTROLS = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
+
+
 def look_form(text: str) -> str:
     """The one form of all texts that look like this one."""
-    if text.isascii() and text.isprintable():
+    if text.isascii() and not _CONTROLS.search(text):
         return text
     # composed letters of other alphabets come apart before their base is mapped
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.replace("\r\n", "\n")).translate(table()))
