@@ -92,7 +92,12 @@ def look_form(text: str) -> str:
     if text.isascii() and not _CONTROLS.search(text):
         return text
     # composed letters of other alphabets come apart before their base is mapped
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.replace("\r\n", "\n")).translate(table()))
+    apart, mapping = unicodedata.normalize("NFD", text.replace("\r\n", "\n")), table()
+    for ch in set(apart):  # a text has few characters that are mapped, and what they become is mapped no further
+        new = mapping.get(ord(ch))
+        if new is not None:
+            apart = apart.replace(ch, new)
+    return unicodedata.normalize("NFC", apart)
 
 
 @F.pandas_udf(T.StringType())
