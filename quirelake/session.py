@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder() -> str:
+    """A temporary folder that goes when the driver does."""
+    path = tempfile.mkdtemp(prefix="quirelake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: what ``spark.checkpoint.dir`` names.
 
@@ -22,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quirelake.shared.dir", "")
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="quirelake-")
+        place = "file://" + _own_folder()
         spark.conf.set("quirelake.shared.dir", place)
     return place.rstrip("/")
 
@@ -53,7 +62,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quirelake_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="quirelake-")) / "quirelake.zip"
+    target = Path(_own_folder()) / "quirelake.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, Path("quirelake") / file.relative_to(root))
