@@ -7,7 +7,9 @@ rows. What fails gives an error row and changes nothing; nothing is updated in p
 Kinds are a table: the entity, how its rows are named, what is set, and which conditions hold. There are few shapes:
 setting attributes, upserting cells, inserting, deleting and moving rows in an order, replacing text, adding
 annotations, shifting an axis, and changing the set of sheets. Attributes without a column of their own live in the
-map column ``attrs``. Two operations on one row in a batch: the one with the greater op_id wins.
+map column ``attrs``. Operations of one kind on one object take turns in op_id order (compared as text) where one may
+depend on another: in orders, axes, sheets, merges, text boxes, and attributes that build on what is there; each then
+sees what the ones before it left. Where a row's values are only overwritten, the one with the greater op_id wins.
 
 Defined cases: a null payload field counts as absent; unknown kinds are errors (``unsupported_capability``); an empty
 batch changes nothing; operations on objects or elements that are not there are errors (``not_found``).
@@ -15,7 +17,9 @@ batch changes nothing; operations on objects or elements that are not there are
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import a1
 from quirelake.functions.formula import drop_sheet, rename_sheet, shift_formula
+from quirelake.session import durable
 
 Tables = dict[str, DataFrame]
 
@@ -242,6 +247,8 @@ PDF: dict[str, Kind] = {
 FORMATS: dict[str, dict[str, Kind]] = {"xlsx": XLSX, "docx": DOCX, "pptx": PPTX, "pdf": PDF}
 #: Kinds that may be combined in one transaction; every other kind stands alone.
 BATCHABLE = frozenset({"set_cell_value", "set_cell_formula", "set_range"})
+#: Shapes whose operations on one object depend on each other.
+IN_TURN = frozenset({"insert", "delete_ordered", "move", "axis", "add_sheet", "rename_sheet", "delete_sheet", "merge", "add_named"})
 ERRORS = "op_id string, object_path string, code string, message string"
 DIFF = "op_id string, object_path string, kind string, target string, change string, before string, after string"
 
@@ -305,10 +312,52 @@ def apply_kind(tables: Tables, ops: DataFrame, fmt: str, name: str) -> Applied:
     kind = FORMATS[fmt][name]
     ops_ok, bad = _checked(_parsed(ops, name, kind), kind.checks, "invalid_payload")
     shape = {"set": _apply_set, "set_map": _apply_set, "upsert": _apply_upsert, "matrix": _apply_upsert, "insert": _apply_ordered, "delete_ordered": _apply_ordered, "move": _apply_ordered, "delete": _apply_delete, "annotate": _apply_annotate, "axis": _apply_axis, "add_sheet": _apply_sheets, "rename_sheet": _apply_sheets, "delete_sheet": _apply_sheets, "merge": _apply_merge, "define_name": _apply_define, "add_named": _apply_add_named}[kind.shape]
-    done = shape(tables, ops_ok, kind, name)
+    ops_ok, turns = _turns(tables, ops_ok, kind)
+    done = shape(tables, ops_ok, kind, name) if turns <= 1 else _in_turns(tables, ops_ok, turns, lambda t, o: shape(t, o, kind, name))
     return Applied(done.tables, done.diff, done.errors.unionByName(bad))
 
 
+def _turns(tables: Tables, ops: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
+    """(operations with their turn, how many turns there are). One turn, and no column for it, where none depends on another."""
+    mentions = lambda text: any(re.search(rf"\be\.{re.escape(c.lstrip('@?').rstrip(':'))}\b", text) for c in kind.sets)
+    wide = kind.shape in IN_TURN or "many" in kind.options or mentions(kind.on) or any("e._" in c for c in kind.rows)
+    builds = any(c.endswith(":") or "?" in c[:2] or mentions(v) for c, v in kind.sets.items()) or any(mentions(c) for c in kind.rows)
+    if kind.shape not in IN_TURN and not (kind.shape == "set" and (builds or mentions(kind.on))):
+        return ops, 1
+    most = ops.groupBy("object_path").count().agg(F.max("count")).first()[0] or 0
+    if most <= 1:
+        return ops, 1
+    turn = F.row_number().over(Window.partitionBy("object_path").orderBy("op_id"))
+    if wide:
+        return ops.withColumn("_turn", turn), most
+    # operations on different rows go together, unless some operation of the object is on several
+    table = with_attrs(tables[kind.entity])
+    e = _entity(tables, kind.entity)
+    pairs = ops.join(e.select("object_path", F.struct(*e.columns).alias("e")), "object_path").where(F.expr(kind.on))
+    row = Window.partitionBy("object_path", *[F.col(f"e.{k}") for k in _row_key(kind.entity, table)]).orderBy("op_id")
+    ranks = pairs.withColumn("_n", F.row_number().over(row)).groupBy("object_path", "op_id").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_hits"))
+    several = F.max("_hits").over(Window.partitionBy("object_path")) > 1
+    placed = ops.join(ranks, ["object_path", "op_id"], "left").withColumn("_turn", F.when(several, turn).otherwise(F.coalesce("_n", F.lit(1)))).select(*ops.columns, "_turn")
+    return placed, placed.agg(F.max("_turn")).first()[0]
+
+
+def _in_turns(tables: Tables, ops: DataFrame, turns: int, step: Callable[[Tables, DataFrame], Applied]) -> Applied:
+    """Apply operations turn by turn. From the second turn on only objects with more than one are carried on; what a turn
+    leaves is written, so plans do not grow with the turns."""
+    ops = durable(ops, "turns")
+    take = lambda n: ops.where(F.col("_turn") == n).drop("_turn")
+    first = step(tables, take(1))
+    busy = ops.where("_turn > 1").select("object_path").distinct()
+    changed = [k for k, df in first.tables.items() if df is not tables[k]]
+    now = {k: durable(df.join(busy, "object_path", "left_semi"), k) for k, df in first.tables.items()}
+    diff, errors = first.diff, first.errors
+    for n in range(2, turns + 1):
+        done = step(now, take(n))
+        now = now | {k: durable(done.tables[k], k) for k in changed}
+        diff, errors = diff.unionByName(durable(done.diff, "diff")), errors.unionByName(durable(done.errors, "errors"))
+    return Applied(tables | {k: first.tables[k].join(busy, "object_path", "left_anti").select(*now[k].columns).unionByName(now[k]) for k in changed}, diff, errors)
+
+
 def apply(tables: Tables, ops: DataFrame, fmt: str, kinds: list[str] | None = None) -> Applied:
     """Apply a batch kind by kind; kinds that are not named are errors."""
     diff, errors = None, unsupported(ops, fmt)
@@ -414,7 +463,7 @@ def _apply_upsert(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Appl
 
 
 def _apply_ordered(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Applied:
-    """Insert, delete or move one row in the order of its object; one such operation an object and batch (the last)."""
+    """Insert, delete or move one row in the order of its object; one such operation an object and turn."""
     order = kind.options["order"]
     at_end = kind.options.get("end")
     if at_end:
@@ -496,7 +545,7 @@ def _unshiftable(tables: Tables, one: DataFrame) -> DataFrame:
 
 
 def _apply_axis(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Applied:
-    """Rows or columns come or go: cells move, formulas on all sheets follow; one operation an object and batch (the last)."""
+    """Rows or columns come or go: cells move, formulas on all sheets follow; one operation an object and turn."""
     axis, insert = kind.options["axis"], bool(kind.options["insert"])
     cells, sheets = with_attrs(tables["cells"]), tables["sheets"]
     placed = ops.join(sheets.select("object_path", F.col("name").alias("_sheet")), "object_path").where(F.expr(same_ci("_sheet", "p.sheet")))
@@ -531,7 +580,7 @@ def _apply_axis(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Applie
 
 
 def _apply_sheets(tables: Tables, ops: DataFrame, kind: Kind, name: str) -> Applied:
-    """Add, rename or delete a sheet; one operation an object and batch (the last)."""
+    """Add, rename or delete a sheet; one operation an object and turn."""
     cells, sheets = with_attrs(tables["cells"]), with_attrs(tables["sheets"])
     last = ops.groupBy("object_path").agg(F.max_by(F.struct("op_id", "p"), "op_id").alias("m")).select("object_path", "m.op_id", "m.p")
     named = sheets.select("object_path", F.col("name").alias("_name"), F.col("idx").alias("_idx"), F.coalesce("hidden", F.lit(False)).alias("_hidden"))

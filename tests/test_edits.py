@@ -172,3 +172,29 @@ def test_bad_payloads_and_batches(spark, tables):
     assert done.tables["paragraphs"].where(F.col("attrs")["bold"] == "true").count() == 1
     empty = edits.apply_kind(tables["docx"], ops.limit(0), "docx", "delete_paragraph")
     assert empty.tables["paragraphs"].count() == 4 and empty.errors.count() == 0
+
+
+def test_operations_on_one_object_take_turns(spark, tables):
+    def all_done(fmt, kind, *payloads):
+        done = run(spark, tables, fmt, kind, *payloads)
+        assert rows(done.errors, "op_id") == [] and rows(done.diff.select("op_id").distinct(), "op_id") == [(f"op{i}",) for i in range(len(payloads))], kind
+        return done.tables
+
+    got = all_done("docx", "insert_paragraph", {"after": 0, "text": "a"}, {"after": 1, "text": "b"}, {"after": 0, "text": "c"})["paragraphs"]
+    assert rows(got, "idx", "text") == [(0, "Title 10%"), (1, "c"), (2, "a"), (3, "b"), (4, "locked 10%"), (5, "cell"), (6, "last 10% and 10%")]
+    assert rows(all_done("docx", "delete_paragraph", {"index": 0}, {"index": 1})["paragraphs"], "idx", "element_id") == [(0, "p1"), (1, "p3")]
+    assert rows(all_done("docx", "replace_paragraph_text", {"index": 3, "find": "last", "replace": "first"}, {"index": 0, "find": "10", "replace": "9"}, {"index": 3, "find": "first", "replace": "1st"})["paragraphs"].where("idx in (0, 3)"), "text") == [("1st 10% and 10%",), ("Title 9%",)]
+    assert rows(all_done("pptx", "move_slide", {"slide": "3", "to_index": 0}, {"slide": "2", "to_index": 0})["slides"], "idx", "element_id") == [(0, "sl1"), (1, "sl2"), (2, "sl0")]
+    assert rows(all_done("pptx", "add_textbox", {"slide": "1"}, {"slide": "Slide 1"}, {"slide": "2"})["shapes"].where("element_id like 'new%'"), "slide", "ord", "name") == [("Slide 1", 2, "TextBox 1"), ("Slide 1", 3, "TextBox 2"), ("Slide 2", 0, "TextBox 1")]
+    got = all_done("xlsx", "insert_row", {"sheet": "Inputs", "at": 1}, {"sheet": "inputs", "at": 3, "count": 2})["cells"]
+    assert rows(got, "sheet", "address", "formula") == [("Inputs", "A2", None), ("Inputs", "A5", None), ("Inputs", "A6", None), ("Inputs", "B5", "=A5*2"), ("Summary", "A1", "=Inputs!A5+SUM(Inputs!A2:A6)")]
+    assert rows(all_done("xlsx", "add_sheet", {"name": "X"}, {"name": "Y", "after": "X"})["sheets"], "idx", "name") == [(0, "Inputs"), (1, "Summary"), (2, "Free"), (3, "X"), (4, "Y")]
+    assert rows(all_done("xlsx", "rename_sheet", {"from": "Inputs", "to": "In"}, {"from": "Free", "to": "Open"})["sheets"], "idx", "name") == [(0, "In"), (1, "Summary"), (2, "Open")]
+    assert all_done("xlsx", "merge_cells", {"sheet": "Inputs", "range": "A1:B2"}, {"sheet": "Inputs", "range": "A5:B6"})["sheets"].where("idx = 0").first().merges == ["D1:E2", "A1:B2", "A5:B6"]
+    got = all_done("xlsx", "set_column_width", {"sheet": "Inputs", "column": "A", "width": 10}, {"sheet": "Inputs", "column": "B", "width": 20}, {"sheet": "Free", "column": "B", "width": 5})["sheets"]
+    assert [r.attrs for r in got.orderBy("idx").collect()] == [{"width:A": "10.0", "width:B": "20.0"}, {}, {"width:B": "5.0"}]
+    assert all_done("pdf", "set_document_metadata", {"title": "New"}, {"author": "B"})["pdf_documents"].where("title = 'New' and author = 'B'").count() == 1
+    done = run(spark, tables, "xlsx", "merge_cells", {"sheet": "Inputs", "range": "A1:B2"}, {"sheet": "Inputs", "range": "B2:C3"})
+    assert rows(done.errors, "op_id", "code") == [("op1", "rejected")] and rows(done.diff, "op_id") == [("op0",)]
+    done = run(spark, tables, "xlsx", "hide_sheet", *[{"sheet": s, "hidden": True} for s in ("Inputs", "Summary", "Free")])
+    assert rows(done.errors, "op_id") == [("op2",)] and rows(done.tables["sheets"].where("not hidden"), "name") == [("Free",)]
