@@ -101,10 +101,18 @@ def selector_of(hit: DataFrame) -> DataFrame:
     return hit.withColumn("selector_kind", kind).withColumn("selector_value", value)
 
 
+def _may_hold(payload: F.Column, needle: str) -> F.Column:
+    """Payloads worth a walk: for letters alone those that hold them as they are, or an escape; else all.
+
+    Other characters may stand otherwise in JSON than in the leaf, and so may the letters a number is written with.
+    """
+    plain = needle.isascii() and needle.isalpha() and not any(needle.lower() in word for word in ("infinity", "nan", "e"))
+    return tx.contains_folded(payload, needle) | payload.contains("\\u") if plain else payload.isNotNull()
+
+
 def search_models(df: DataFrame, path: str, payload: str, needle: str, structure: bool = False) -> DataFrame:
-    """Hits in models with their selectors; only payloads that hold the needle are walked."""
-    near = df.where(F.contains(tx.fold(F.col(payload)), F.lit(needle.lower())) | F.col(payload).contains("\\u"))
-    leaves = model_leaves(near, path, payload).where(tx.contains_folded(F.col("leaf"), needle))
+    """Hits in models with their selectors; payloads that cannot hold the needle are not walked."""
+    leaves = model_leaves(df.where(_may_hold(F.col(payload), needle)), path, payload).where(tx.contains_folded(F.col("leaf"), needle))
     if not structure:
         leaves = leaves.where("leaf_role <> 'structure'")
     return selector_of(leaves).withColumn("snippet", F.substring("leaf", 1, tx.SNIPPET_CHARS))
