@@ -121,10 +121,12 @@ def alike_pairs(units: DataFrame, unit: str, text: str) -> DataFrame:
     """(unit_a, unit_b): units whose texts look the same but are not the same characters."""
     forms, rows = canonical_forms(units, unit, text)
     variants = forms.where("n_variants > 1").select("text", "class_key")
-    placed = rows.join(variants, "text").select("unit", "text", "class_key")
-    other = placed.select(F.col("unit").alias("unit_b"), F.col("text").alias("text_b"), "class_key")
-    pairs = placed.withColumnRenamed("unit", "unit_a").join(other, "class_key").where("text <> text_b and unit_a < unit_b")
-    return pairs.select("unit_a", "unit_b")
+    # distinct texts are paired first, so units of one text never meet; each join on texts makes only rows that are wanted
+    other = variants.select(F.col("text").alias("text_b"), "class_key")
+    texts = variants.join(other, "class_key").where("text < text_b").select("text", "text_b")
+    left = texts.join(rows, "text").select(F.col("unit").alias("unit_x"), "text_b")
+    pairs = left.join(rows.select(F.col("unit").alias("unit_y"), F.col("text").alias("text_b")), "text_b")
+    return pairs.select(F.least("unit_x", "unit_y").alias("unit_a"), F.greatest("unit_x", "unit_y").alias("unit_b"))
 
 
 def with_canonical(units: DataFrame, unit: str, text: str) -> DataFrame:

@@ -43,3 +43,11 @@ def test_pairs_against_brute_force(spark):
             by_look.setdefault(looks.look_form(text), set()).add(canonical)
     assert all(len(v) == 1 for k, v in by_look.items() if k.strip())
     assert looks.alike_pairs(df.limit(0), "unit_id", "text").count() == 0
+
+
+def test_units_of_one_text_never_meet(spark):
+    df = spark.createDataFrame([*((i, "ABC") for i in range(50)), (50, "ＡBC")], "unit_id long, text string")
+    pairs = looks.alike_pairs(df, "unit_id", "text")
+    on_class = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "class_key" in x]
+    assert on_class and not any("unit" in x for x in on_class)
+    assert sorted(map(tuple, pairs.collect())) == [(i, 50) for i in range(50)]
