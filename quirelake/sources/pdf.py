@@ -307,11 +307,15 @@ def parse_pdf(blob: bytes) -> dict[str, list[dict]]:
     out["fields"] = list(_fields(pdf, root))
     info = pdf.get(pdf.trailer.get("Info"))
     info = info if isinstance(info, dict) else {}
-    titles, node, seen = [], pdf.get(root.get("Outlines")), 0
+    titles, node, seen = [], pdf.get(root.get("Outlines")), set()
     stack = [node.get("First")] if isinstance(node, dict) else []
-    while stack and seen < 100_000:
-        item = pdf.get(stack.pop())
-        seen += 1
+    while stack:
+        ref = stack.pop()
+        if isinstance(ref, Ref):  # only references can lead back
+            if ref in seen:
+                continue
+            seen.add(ref)
+        item = pdf.get(ref)
         if isinstance(item, dict):
             titles.append(text_of(pdf.get(item.get("Title"))) or "")
             stack += [item[k] for k in ("Next", "First") if k in item]

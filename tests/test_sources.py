@@ -156,3 +156,10 @@ def test_scan_of_a_folder(spark, tmp_path):
     back = packages.implode_packages(manifest, parts)
     assert back.where("intact").count() == 6 == listed.count()
     assert packages.snapshot_tables(slices, parts)[1].count() == 0
+
+
+def test_outline_is_whole():
+    n = 100_005
+    items = "".join(f"{20 + i} 0 obj\n<< /Title (t{i}) /Next {20 + (i + 1) % n} 0 R >>\nendobj\n" for i in range(n))
+    blob = form("/Outlines << /First 20 0 R >>").replace(b"trailer", items.encode() + b"trailer")
+    assert pdf.parse_pdf(blob)["pdf_documents"][0]["outline"] == [f"t{i}" for i in range(n)]
