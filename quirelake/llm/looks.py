@@ -110,10 +110,9 @@ def canonical_forms(units: DataFrame, unit: str, text: str) -> tuple[DataFrame,
     rows = units.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).groupBy(F.col(unit).alias("unit")).agg(F.min(text).alias("text"))
     # written once: mapping a text is the dear step, and the classes are looked at from several sides
     forms = durable(rows.select("text").distinct().withColumn("look", look_udf("text")).where(F.regexp_replace("look", r"\s+", "") != ""), "looks")
-    # candidates: equal under the collation; then the exact check: equal mapped characters
-    by_look = forms.groupBy("look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants"))
-    grouped = by_look.groupBy(F.expr("look COLLATE UNICODE").alias("collated")).agg(F.collect_list(F.struct("look", "c", "n_variants")).alias("looks"))
-    chosen = grouped.select(F.explode("looks").alias("x")).select("x.look", "x.c", "x.n_variants")
+    # candidates: equal under the collation, brought together; then the exact check splits them by their mapped characters
+    candidates = forms.withColumn("collated", F.expr("look COLLATE UNICODE")).repartition("collated")
+    chosen = candidates.groupBy("collated", "look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants")).drop("collated")
     return forms.join(chosen, "look").select("text", F.col("look").alias("class_key"), F.col("c.text").alias("canonical"), "n_variants"), rows
 
 

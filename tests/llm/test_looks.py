@@ -51,3 +51,11 @@ def test_units_of_one_text_never_meet(spark):
     on_class = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "class_key" in x]
     assert on_class and not any("unit" in x for x in on_class)
     assert sorted(map(tuple, pairs.collect())) == [(i, 50) for i in range(50)]
+
+
+def test_candidates_come_from_the_collation(spark):
+    df = spark.createDataFrame(list(enumerate(["ABC", "ＡBC", "é", "e\u0301", "É"])), "unit_id long, text string")
+    forms, _ = looks.canonical_forms(df, "unit_id", "text")
+    grouped = [x for x in forms._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x and "n_variants" in x]
+    assert grouped and all("Aggregate [collated" in x for x in grouped)
+    assert sorted((r.class_key, r.n_variants) for r in forms.collect()) == [("ABC", 2), ("ABC", 2), ("É", 1), ("é", 2), ("é", 2)]
