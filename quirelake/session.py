@@ -31,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quirelake.shared.dir", "")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + _own_folder()
         spark.conf.set("quirelake.shared.dir", place)
     return place.rstrip("/")
@@ -46,8 +48,51 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Remove what ``durable`` wrote for this application; to be called when its results have been used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}")
+
+
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of a place in the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no folder."""
+    fs, place = _place(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, place = _place(spark, path)
+    fs.mkdirs(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, place = _place(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: beside its place first, then by one rename."""
+    fs, place = _place(spark, path)
+    _, beside = _place(spark, path + ".part")
+    stream = fs.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not fs.rename(beside, place):
+        raise OSError(f"{path} cannot be written")
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:

@@ -43,12 +43,7 @@ def snapshot_changes(stream: DataFrame, index: SnapshotIndex, sink: Callable[[Da
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        before = index.generation
-        try:
-            sink(index.deliver(batch, "object_path", "snapshot_no", "name", "part_hash"), number)
-        except BaseException:
-            index.generation = before
-            raise
+        index.deliver(batch, "object_path", "snapshot_no", "name", "part_hash", lambda changes: sink(changes, number))
 
     return stream.writeStream.foreachBatch(run)
 

@@ -115,8 +115,53 @@ def test_snapshot_replay_and_index(spark):
     got = sorted((r.object_path, r.snapshot_no, r.name, r.change_kind) for r in snapshots.replay(df, "object_path", "snapshot_no", "name", "part_hash").collect())
     want = [("o", 4, "b.xml", "changed"), ("o", 4, "c", "removed"), ("o", 4, "d/e", "added"), ("o", 5, "a.xml", "changed")]
     assert got == want
+    assert snapshots.replay(df.limit(0), "object_path", "snapshot_no", "name", "part_hash").count() == 0
+    names = ("object_path", "snapshot_no", "name", "part_hash")
+
+    def drained(changes):
+        return [(r.object_path, r.snapshot_no, r.name, r.change_kind) for r in changes.collect()]
+
     index, one_by_one = snapshots.SnapshotIndex(spark, buckets=4), []
     for no in (1, 4, 5):
-        one_by_one += [(r.object_path, r.snapshot_no, r.name, r.change_kind) for r in index.deliver(df.where(f"snapshot_no = {no}"), "object_path", "snapshot_no", "name", "part_hash").collect()]
+        one_by_one += drained(index.deliver(df.where(f"snapshot_no = {no}"), *names))
     assert sorted(one_by_one) == want
-    assert snapshots.replay(df.limit(0), "object_path", "snapshot_no", "name", "part_hash").count() == 0
+    assert drained(index.deliver(df.where("snapshot_no = 4"), *names)) == []  # not newer than what is known
+
+
+def test_snapshot_index_restart_and_untouched_buckets(spark, tmp_path):
+    def snapshot(obj, no, **hashes):
+        return spark.createDataFrame([(obj, no, n, h) for n, h in hashes.items()], "object_path string, snapshot_no int, name string, part_hash string")
+
+    def files():
+        return {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "index/data").rglob("*.parquet")}
+
+    def drained(changes):
+        return sorted((r.object_path, r.snapshot_no, r.name, r.change_kind) for r in changes.collect())
+
+    names, place = ("object_path", "snapshot_no", "name", "part_hash"), "file://" + str(tmp_path / "index")
+    index = snapshots.SnapshotIndex(spark, place, buckets=3)
+    assert drained(index.deliver(snapshot("still", 1, a="1", b="2"), *names)) == []
+    still = files()
+    assert drained(index.deliver(snapshot("o", 1, a="1", b="2"), *names)) == []
+    again = snapshots.SnapshotIndex(spark, place)  # as a driver that starts again
+    assert (again.version, again.live, again.buckets) == (2, [0, 1], 3)
+    with pytest.raises(ZeroDivisionError):
+        again.deliver(snapshot("o", 2, a="9"), *names, sink=lambda changes: 1 / 0)
+    both = snapshot("o", 2, a="1", c="3").unionByName(snapshot("o", 7, a="2", c="3"))
+    assert drained(snapshots.SnapshotIndex(spark, place).deliver(both, *names)) == [("o", 2, "b", "removed"), ("o", 2, "c", "added"), ("o", 7, "a", "changed")]
+    assert still.items() <= files().items()  # what was not delivered has not moved
+    assert not any("gen=1/" in f or "gen=2/" in f for f in files())  # what no head names is gone
+    index = snapshots.SnapshotIndex(spark, place)
+    for k in range(snapshots.LIVE_GENERATIONS):
+        index.deliver(snapshot(f"p{k}", 1, a="1"), *names)
+    assert len(index.live) <= snapshots.LIVE_GENERATIONS
+    assert drained(snapshots.SnapshotIndex(spark, place).deliver(snapshot("still", 2, a="1", b="3").unionByName(snapshot("p0", 3, b="1")), *names)) == [("p0", 3, "a", "removed"), ("p0", 3, "b", "added"), ("still", 2, "b", "changed")]
+
+
+def test_snapshot_probe_needs_no_shuffle(spark):
+    df = spark.createDataFrame([("o", s, f"n{k}", str(s * k % 3)) for s in range(40) for k in range(5)], "object_path string, snapshot_no int, name string, part_hash string")
+    changes = snapshots.replay(df.where("snapshot_no < 4"), "object_path", "snapshot_no", "name", "part_hash")
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") + plan.count("BroadcastHashJoin") == 3 and "Exchange" not in plan
+    brute = sum(str(s * k % 3) != str((s - 1) * k % 3) for s in range(1, 40) for k in range(5))
+    assert snapshots.replay(df, "object_path", "snapshot_no", "name", "part_hash").count() == brute  # more probes than one plan holds
