@@ -2,13 +2,17 @@
 
 ``look_form`` maps what does not change the look: width, composition of accents, kinds of blank and of hyphen,
 ligatures, characters without a glyph, letters of other alphabets with the same shape. Case, accents, super- and
-subscripts, circled digits, fractions, the length of a dash and the number of blanks stay. Mapped values are grouped
-under the accent-sensitive UNICODE collation in SQL, an exact check of the mapped characters follows, a canonical member
-is chosen per class (the shortest, then the first by code points) and joined back.
+subscripts, circled digits, fractions, the length of a dash and the number of blanks stay.
+
+Values are mapped character by character in SQL and grouped under the accent-sensitive UNICODE collation, which brings
+together what is composed differently; texts of a group with one text only are done. In the others an exact check of the
+mapped characters follows, a canonical member is chosen per class (the shortest, then the first by code points) and
+joined back.
 
 Defined cases: null texts, and texts without a visible character, belong to no class and keep what they are; equal
-texts are one member of their class; a unit that arrives twice counts once; ties in the choice of the canonical member
-cannot occur between different texts; a hot class is joined on distinct texts first; extra columns are ignored.
+texts are one member of their class; a unit that arrives twice counts once, one that arrives with several texts counts
+with each, but makes no pair with itself; ties in the choice of the canonical member cannot occur between different
+texts; the texts of a hot class are paired before their units; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,31 +109,74 @@ def look_udf(texts: pd.Series) -> pd.Series:
     return texts.map(look_form, na_action="ignore")
 
 
-def canonical_forms(units: DataFrame, unit: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(text, class_key, canonical, n_variants) of each distinct text, and the units (unit, text), each once."""
-    rows = units.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).groupBy(F.col(unit).alias("unit")).agg(F.min(text).alias("text"))
-    # written once: mapping a text is the dear step, and the classes are looked at from several sides
-    forms = durable(rows.select("text").distinct().withColumn("look", look_udf("text")).where(F.regexp_replace("look", r"\s+", "") != ""), "looks")
-    # candidates: equal under the collation, brought together; then the exact check splits them by their mapped characters
-    candidates = forms.withColumn("collated", F.expr("look COLLATE UNICODE")).repartition("collated")
-    chosen = candidates.groupBy("collated", "look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants")).drop("collated")
-    return forms.join(chosen, "look").select("text", F.col("look").alias("class_key"), F.col("c.text").alias("canonical"), "n_variants"), rows
+@cache
+def _single() -> tuple[str, str, str]:
+    """(characters, what they become, characters that go or become several): what is mapped one by one.
+
+    Composition is left out where it is all that differs: the collation does not see it.
+    """
+    one, new, gone, several = [], [], [], []
+    known = table()
+    for o in range(0x80, sys.maxunicode + 1):
+        ch = chr(o)
+        if o in known or (0xC0 <= o < 0x2000 and unicodedata.decomposition(ch)):
+            form = look_form(ch)
+            if form == unicodedata.normalize("NFC", ch):
+                continue
+            if len(form) == 1:
+                one.append(ch)
+                new.append(form)
+            else:
+                (several if form else gone).append(ch)
+    control = [chr(o) for o in known if o < 0x80]
+    one += [c for c in control if known[ord(c)]]
+    new += [known[ord(c)] for c in control if known[ord(c)]]
+    return "".join(one + gone + [c for c in control if not known[ord(c)]]), "".join(new), "".join(several)
+
+
+def mapped(text: Column) -> Column:
+    """The text with its characters mapped, in any composition: texts that look the same are equal under the collation.
+
+    What becomes several characters, and marks that may stand in another order, are mapped in Python.
+    """
+    old, new, several = _single()
+    plain = F.when(text.rlike(r"[^\n\x20-\x7e]"), F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), old, new)).otherwise(text)
+    hard = plain.rlike("[" + several + "\u1100-\u11ff]|[^\\x00-\\x7f]\\p{M}|^\\p{M}")
+    return F.coalesce(look_udf(F.when(hard, text)), plain)
+
+
+def _collated(column: str) -> Column:
+    return F.expr(f"`{column}` COLLATE UNICODE")
+
+
+def alike_members(units: DataFrame, unit: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of two texts or more: (text, class_key, canonical, n_variants), and their units (unit, text), each once."""
+    rows = units.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(text).alias("text")).withColumn("mapped", mapped(F.col("text")))
+    rows = rows.where(F.regexp_replace("mapped", r"\s+", "") != "").withColumn("key", _collated("mapped"))
+    groups = rows.groupBy("key").agg(F.min("text").alias("first"), F.max("text").alias("last"), F.min("mapped").alias("mapped")).where("first <> last")
+    # written: the planner sees how large they are, and whether they may be sent to all
+    groups = durable(groups.select(F.col("first").alias("group"), "mapped"), "groups").withColumn("key", _collated("mapped")).drop("mapped")
+    members = durable(rows.join(groups, "key").select("unit", "text", "group").distinct(), "members")
+    looks = members.select("group", "text").distinct().withColumn("look", look_udf("text"))
+    chosen = looks.groupBy("group", "look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants"))
+    forms = durable(looks.join(chosen.where("n_variants > 1"), ["group", "look"]).select("text", F.col("look").alias("class_key"), F.col("c.text").alias("canonical"), "n_variants"), "forms")
+    return forms, members.select("unit", "text")
 
 
 def alike_pairs(units: DataFrame, unit: str, text: str) -> DataFrame:
     """(unit_a, unit_b): units whose texts look the same but are not the same characters."""
-    forms, rows = canonical_forms(units, unit, text)
-    variants = forms.where("n_variants > 1").select("text", "class_key")
+    forms, rows = alike_members(units, unit, text)
+    variants = forms.select("text", "class_key")
     # distinct texts are paired first, so units of one text never meet; each join on texts makes only rows that are wanted
     other = variants.select(F.col("text").alias("text_b"), "class_key")
     texts = variants.join(other, "class_key").where("text < text_b").select("text", "text_b")
     left = texts.join(rows, "text").select(F.col("unit").alias("unit_x"), "text_b")
-    pairs = left.join(rows.select(F.col("unit").alias("unit_y"), F.col("text").alias("text_b")), "text_b")
-    return pairs.select(F.least("unit_x", "unit_y").alias("unit_a"), F.greatest("unit_x", "unit_y").alias("unit_b"))
+    pairs = left.join(rows.select(F.col("unit").alias("unit_y"), F.col("text").alias("text_b")), "text_b").where("unit_x <> unit_y")
+    return pairs.select(F.least("unit_x", "unit_y").alias("unit_a"), F.greatest("unit_x", "unit_y").alias("unit_b")).distinct()
 
 
 def with_canonical(units: DataFrame, unit: str, text: str) -> DataFrame:
-    """(unit, text, canonical): every unit with the one form of its text; texts without a class keep what they are."""
-    forms, _ = canonical_forms(units, unit, text)
-    rows = units.groupBy(F.col(unit).alias("unit")).agg(F.min(text).alias("text"))
+    """(unit, text, canonical): every unit and text once, with the one form of the text; texts without a class keep what they are."""
+    forms, _ = alike_members(units, unit, text)
+    rows = units.select(F.col(unit).alias("unit"), F.col(text).alias("text")).distinct()
     return rows.join(forms.select("text", "canonical"), "text", "left").select("unit", "text", F.coalesce("canonical", "text").alias("canonical"))

@@ -1,6 +1,8 @@
+import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import looks
 
@@ -55,7 +57,24 @@ def test_units_of_one_text_never_meet(spark):
 
 def test_candidates_come_from_the_collation(spark):
     df = spark.createDataFrame(list(enumerate(["ABC", "ＡBC", "é", "e\u0301", "É"])), "unit_id long, text string")
-    forms, _ = looks.canonical_forms(df, "unit_id", "text")
-    grouped = [x for x in forms._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x and "n_variants" in x]
-    assert grouped and all("Aggregate [collated" in x for x in grouped)
-    assert sorted((r.class_key, r.n_variants) for r in forms.collect()) == [("ABC", 2), ("ABC", 2), ("É", 1), ("é", 2), ("é", 2)]
+    forms, _ = looks.alike_members(df, "unit_id", "text")
+    assert sorted((r.class_key, r.n_variants) for r in forms.collect()) == [("ABC", 2), ("ABC", 2), ("é", 2), ("é", 2)]
+    # composed and decomposed letters are mapped to different characters: nothing but the collation brings them together
+    forms = {r.text: r.m for r in df.select("text", looks.mapped(F.col("text")).alias("m")).collect()}
+    assert forms["é"] == "é" != forms["e\u0301"] == "e\u0301" and forms["ＡBC"] == "ABC"
+
+
+def test_collation_is_coarser_than_the_look(spark):
+    """Whatever the look brings together is in one group of the collation, for every character and for mixed texts."""
+    rng = random.Random(7)
+    known = [chr(o) for o in looks.table()]
+    letters = [chr(o) for o in range(0xA0, 0x2100) if unicodedata.decomposition(chr(o))] + ["각", "\u1100\u1161", "a\u0327\u0301", "a\u0301\u0327", "e\u0301\u200d\u0327"]
+    texts = set(known + letters)
+    for _ in range(3000):
+        text = "".join(rng.choice(known if rng.random() < 0.4 else letters) if rng.random() < 0.5 else rng.choice("aeiouAE xyz-\n") for _ in range(rng.randrange(1, 7)))
+        texts |= {text, unicodedata.normalize("NFD", text), unicodedata.normalize("NFC", text)}
+    texts = {t for t in texts | {looks.look_form(t) for t in texts} if looks.look_form(t).strip()}
+    df = spark.createDataFrame([(t, looks.look_form(t)) for t in texts], "text string, look string")
+    keyed = df.withColumn("mapped", looks.mapped(F.col("text"))).withColumn("key", looks._collated("mapped"))
+    apart = keyed.groupBy("look", "key").agg(F.min("text").alias("text")).groupBy("look").agg(F.count(F.lit(1)).alias("n"), F.collect_list("text").alias("texts")).where("n > 1")
+    assert [(r.look, [t.encode("unicode_escape") for t in r.texts]) for r in apart.collect()] == []
