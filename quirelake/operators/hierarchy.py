@@ -1,11 +1,13 @@
 """Parent-child links to full hierarchies, by contraction of partition-local chains.
 
-Nodes are spread over fragments: all nodes of a small group share one, a large group is cut by the hash of the node. In
-each partition parent chains are contracted by pointer doubling in numpy: a node ends at a local root, on a local
-cycle, or at a *fragment exit*, the first node of its chain that lives elsewhere. Exits form a smaller quotient forest
-(weighted by the contracted distance), which is solved the same way with another hash, and by relational pointer
-doubling should it not shrink. Then fragments are expanded: exits take over root, depth and state of the quotient, and
-nodes between two exits of a global cycle are marked as lying on it.
+Nodes are spread over fragments: all nodes of a small group share one, a large group is cut so that a node goes where
+the smaller hash of itself and its parent sends it; that puts a third of all links, at least, within a fragment, however
+the group looks. In each partition parent chains are contracted by pointer doubling in numpy: a node ends at a local
+root, on a local cycle, or at a *fragment exit*, the first node of its chain that lives elsewhere. Exits form a smaller
+quotient forest (weighted by the contracted distance, and carrying the contracted path), which is solved the same way
+with another hash, until it fits a fragment: each level leaves about two thirds of a chain or less, and all leaves are
+gone after the first. Then fragments are expanded: exits take over root, depth, path and state of the quotient, and nodes
+between two exits of a global cycle are marked as lying on it.
 
 Defined cases: null or blank groups or nodes are no node; a null parent makes no link; repeated links count once; of
 several parents of one node the smallest counts; a node that is its own parent is a cycle of one; an empty table gives
@@ -14,19 +16,23 @@ no row; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.session import durable, partitions_for
 
 #: Rows that one fragment may hold; a partition holds about as many.
 FRAGMENT_ROWS = 100_000
-
-_LOCAL = "grp string, node string, parent string, w bigint, exit string, dist bigint, root string, state string"
+#: Fragments are smaller where this many for each core would otherwise not come about, but no smaller than LEAST_ROWS.
+FRAGMENTS_PER_CORE, LEAST_ROWS = 2, 1_000
+#: Code points of paths that one batch may hold.
+PATH_CHARS = 8_000_000
+#: What stands between the ids of a path, and what it is written as where it is part of an id.
+SEP, ESCAPE = "\x1f", "\x1e"
 
 
 def links(df: DataFrame, group: str, child: str, parent: str, is_link: F.Column) -> DataFrame:
@@ -40,17 +46,43 @@ def links(df: DataFrame, group: str, child: str, parent: str, is_link: F.Column)
 
 def _positions(grp: pd.Series, node: pd.Series, parent: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """For each row the row of its parent in the same partition, or -1; and whether it has a parent at all."""
-    sep = "\x1f"
-    key = grp.str.cat(node, sep=sep)
+    group = pd.Series(pd.factorize(grp)[0].astype(str), index=grp.index)  # digits hold no separator
     has = parent.notna().to_numpy()
     at = np.full(len(node), -1, np.int64)
     if has.any():
-        at[has] = pd.Index(key).get_indexer(grp[has].str.cat(parent[has], sep=sep))
+        at[has] = pd.Index(group.str.cat(node, sep=SEP)).get_indexer(group[has].str.cat(parent[has], sep=SEP))
     return at, has
 
 
-def _contract(frame: pd.DataFrame) -> pd.DataFrame:
-    """Ends of all chains of one partition: pointer doubling, about log2 of the longest chain steps."""
+def _walk(at: np.ndarray, seg: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, paths) of all trees, from what stands at their tops down; only one path is held, and batches are bounded."""
+    order = np.argsort(at, kind="stable")
+    below = np.searchsorted(at[order], np.arange(len(at) + 1))
+    rows: list[int] = []
+    paths: list[str] = []
+    weight, order, below = 0, order.tolist(), below.tolist()
+    for top in np.flatnonzero(at < 0).tolist():
+        stack, held = [(top, 0)], []
+        while stack:
+            i, depth = stack.pop()
+            del held[depth:]
+            held.append(seg[i])
+            rows.append(i)
+            paths.append(SEP.join(held))
+            weight += len(paths[-1]) + 16
+            if weight > PATH_CHARS:
+                yield rows, paths
+                rows, paths, weight = [], [], 0
+            stack += [(j, depth + 1) for j in order[below[i] : below[i + 1]]]
+    if rows:
+        yield rows, paths
+
+
+def _contract(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Ends of all chains of one partition: pointer doubling, about log2 of the longest chain steps.
+
+    With a column ``seg``, the part of the path that a node stands for, the path from the chain's end down to the node too.
+    """
     frame = frame.reset_index(drop=True)
     n = len(frame)
     at, has = _positions(frame.grp, frame.node, frame.parent)
@@ -87,10 +119,15 @@ def _contract(frame: pd.DataFrame) -> pd.DataFrame:
     leave[exits] = parent[jump[exits]]
     out["exit"], out["root"], out["state"] = leave, root, state
     out["dist"] = np.where(exits, dist + weight[jump], np.where(tree, dist, -1))
-    return out
+    if "seg" not in frame:
+        yield out
+        return
+    for rows, paths in _walk(at, frame.seg.to_numpy(object)):
+        yield out.iloc[rows].assign(path=paths)
+    yield out[~ended].assign(path=None)
 
 
-def _mark_rings(frame: pd.DataFrame) -> pd.DataFrame:
+def _mark_rings(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Of the nodes whose chain leaves towards a cycle: those between a cycle's node of this fragment and its exit are on it."""
     frame = frame.reset_index(drop=True)
     at, _ = _positions(frame.grp, frame.node, frame.parent)
@@ -104,123 +141,107 @@ def _mark_rings(frame: pd.DataFrame) -> pd.DataFrame:
     state = frame.state.to_numpy(object).copy()
     loose = np.isin(state, ["cycle", "below_cycle"]) & frame.exit.notna().to_numpy()
     state[loose] = np.where(ring[loose], "cycle", "below_cycle")
-    return frame.assign(state=state)[["grp", "node", "root", "dist", "state"]]
+    yield frame.assign(state=state)
 
 
-def _whole(frames: Iterator[pd.DataFrame], work, names: list[str]) -> Iterator[pd.DataFrame]:
+def _whole(frames: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], names: list[str]) -> Iterator[pd.DataFrame]:
     parts = [f for f in frames if len(f)]
     if parts:
-        done = work(pd.concat(parts, ignore_index=True))
-        for i in range(0, len(done), 20_000):
-            yield done.iloc[i : i + 20_000][names]
-
-
-def _fragmented(nodes: DataFrame, fragment_rows: int, salt: int) -> tuple[DataFrame, int]:
-    """Nodes placed by fragment: whole groups where they are small, pieces of the large ones."""
-    sizes = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    rows = nodes.count()
-    parts = partitions_for(nodes.sparkSession, rows, fragment_rows)
-    large = sizes.where(F.col("n") > fragment_rows).withColumn("nb", F.ceil(F.col("n") / fragment_rows).cast("int")).drop("n")
-    placed = nodes.join(large, "grp", "left").withColumn("frag", F.when(F.col("nb").isNotNull(), F.pmod(F.xxhash64("node", F.lit(salt)), F.col("nb"))).otherwise(F.lit(0))).drop("nb")
-    return placed.repartition(parts, "grp", "frag"), rows
-
-
-def _jump(nodes: DataFrame) -> DataFrame:
-    """Relational pointer doubling for a quotient that contraction does not shrink: exact, log2(depth) joins."""
-    ptr = durable(nodes.select("grp", "node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(F.col("w")).alias("dist"), F.col("parent").isNull().alias("over")), "jump")
-    steps = max(1, int(nodes.count()).bit_length()) + 1
-    for _ in range(steps):
-        if ptr.where(~F.col("over")).isEmpty():
-            break
-        far = ptr.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("over").alias("over2"))
-        ptr = durable(ptr.join(far, ["grp", "up"]).select("grp", "node", F.when(F.col("over"), F.col("up")).otherwise(F.col("up2")).alias("up"), F.when(F.col("over"), F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), (F.col("over") | F.col("over2")).alias("over")), "jump")
-    # after as many steps as there are nodes every pointer that is still open stands on its cycle, and all of a cycle is stood on
-    ring = ptr.where(~F.col("over")).select("grp", F.col("up").alias("node"), F.lit(True).alias("ring")).distinct()
-    done = ptr.join(ring, ["grp", "node"], "left")
-    return done.select("grp", "node", F.when(F.col("over"), F.col("up")).alias("root"), F.when(F.col("over"), F.col("dist")).otherwise(F.lit(-1)).cast("bigint").alias("dist"), F.when(F.col("over"), "tree").when(F.col("ring"), "cycle").otherwise("below_cycle").alias("state"))
-
-
-def solve(nodes: DataFrame, fragment_rows: int = FRAGMENT_ROWS, salt: int = 0, before: int | None = None) -> DataFrame:
-    """(grp, node, root, dist, state) of a forest (grp, node, parent, w): contraction, recursion on the quotient, expansion."""
-    placed, rows = _fragmented(nodes, fragment_rows, salt)
-    if before is not None and rows > 0.7 * before:
-        return _jump(nodes)
-    names = [c.split()[0] for c in _LOCAL.split(", ")]
-    local = durable(placed.select("grp", "node", "parent", "w").mapInPandas(lambda it: _whole(it, _contract, names), _LOCAL), f"fragments-{salt}")
-    closed = local.where("exit is null").select("grp", "node", "root", "dist", "state")
+        for done in work(pd.concat(parts, ignore_index=True)):
+            for i in range(0, len(done), 20_000):
+                yield done.iloc[i : i + 20_000][names]
+
+
+def _in_fragments(nodes: DataFrame, large: DataFrame | None, parts: int, salt: int) -> DataFrame:
+    """Nodes placed by fragment: whole groups where they are small, pieces of the ``large`` ones (grp, nb)."""
+    if large is None:
+        return nodes.repartition(parts, "grp")
+    rank = lambda c: F.xxhash64(c, F.lit(salt))
+    leader = F.when(F.col("parent").isNotNull() & (rank("parent") < rank("node")), F.col("parent")).otherwise(F.col("node"))
+    placed = nodes.join(large, "grp", "left").withColumn("frag", F.when(F.col("nb").isNotNull(), F.pmod(F.xxhash64(leader, F.lit(-1 - salt)), F.col("nb"))).otherwise(F.lit(0)))
+    return placed.drop("nb").repartition(parts, "grp", "frag")
+
+
+def solve(nodes: DataFrame, fragment_rows: int | None = None, level: int = 0, report: list[int] | None = None) -> DataFrame:
+    """(grp, node, root, dist, state[, path]) of a forest (grp, node, parent, w[, seg]): contraction, recursion on the quotient, expansion.
+
+    ``report`` takes the rows of each level: the first is the forest, the others are quotients.
+    """
+    spark = nodes.sparkSession
+    kept = ["seg"] if "seg" in nodes.columns else []
+    path = ["path"] if kept else []
+    sizes = durable(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), f"sizes-{level}")
+    rows, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if report is not None:
+        report.append(rows)
+    if fragment_rows is None:
+        fragment_rows = min(FRAGMENT_ROWS, max(LEAST_ROWS, -(-rows // (FRAGMENTS_PER_CORE * spark.sparkContext.defaultParallelism))))
+    parts = partitions_for(spark, rows, fragment_rows)
+    large = durable(sizes.where(F.col("n") > fragment_rows).select("grp", F.ceil(F.col("n") / fragment_rows).cast("int").alias("nb")), f"large-{level}") if largest > fragment_rows else None
+    schema = "grp string, node string, parent string, exit string, dist bigint, root string, state string" + (", path string" if kept else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    local = _in_fragments(nodes.select("grp", "node", "parent", "w", *kept), large, parts, level).mapInPandas(lambda it: _whole(it, _contract, names), schema)
+    if large is None:  # nothing is cut, so every chain has ended
+        return local.select("grp", "node", "root", "dist", "state", *path)
+    local = durable(local, f"fragments-{level}")
+    closed = local.where("exit is null").select("grp", "node", "root", "dist", "state", *path)
     open_ = local.where("exit is not null")
-    if open_.isEmpty():
-        return closed
     targets = open_.select("grp", F.col("exit").alias("node")).distinct()
-    quotient = durable(local.join(targets, ["grp", "node"], "left_semi").select("grp", "node", F.col("exit").alias("parent"), F.col("dist").alias("w"), "root", "state"), f"quotient-{salt}")
+    quotient = durable(local.join(targets, ["grp", "node"], "left_semi").select("grp", "node", F.col("exit").alias("parent"), F.col("dist").alias("w"), "root", "state", *path), f"quotient-{level}")
     # nodes that ended locally are roots of the quotient; what they ended with is put in again afterwards
-    solved = solve(quotient.select("grp", "node", "parent", F.coalesce("w", F.lit(0)).alias("w")), fragment_rows, salt + 1, rows)
+    seg = [F.coalesce("path", F.lit("")).alias("seg")] if kept else []
+    solved = solve(quotient.select("grp", "node", "parent", F.coalesce("w", F.lit(0)).alias("w"), *seg), fragment_rows, level + 1, report)
     ends = quotient.where("parent is null").select("grp", F.col("node").alias("root"), F.col("root").alias("root2"), F.col("w").alias("dist2"), F.col("state").alias("state2"))
     full = solved.join(ends, ["grp", "root"], "left").select(
         "grp", "node",
         F.when(F.col("state2") == "tree", F.col("root2")).alias("q_root"),
         F.when(F.col("state2") == "tree", F.col("dist") + F.col("dist2")).alias("q_dist"),
         F.when(F.col("state2").isNull(), F.col("state")).when(F.col("state2") == "tree", F.lit("tree")).otherwise(F.lit("below_cycle")).alias("q_state"),
+        *[F.col(c).alias("q_path") for c in path],
     )
-    full = durable(full, f"solved-{salt}")
+    full = durable(full, f"solved-{level}")
     own = full.where("q_state = 'cycle'").select("grp", "node", F.col("q_state").alias("self_state"))
     there = full.withColumnRenamed("node", "exit")
-    opened = open_.drop("root", "state").join(there, ["grp", "exit"], "left").join(own, ["grp", "node"], "left")
-    opened = opened.select("grp", "node", "parent", "exit", F.col("q_root").alias("root"), F.when(F.col("q_state") == "tree", F.col("dist") + F.col("q_dist")).otherwise(F.lit(-1)).alias("dist"), F.col("q_state").alias("state"), "self_state")
-    trees = opened.where("state = 'tree'").select("grp", "node", "root", "dist", "state")
-    loops = opened.where("state <> 'tree'")
-    loops, _ = _refragment(loops, local, fragment_rows, salt)
+    opened = open_.drop("root", "state").join(there, ["grp", "exit"], "left")
+    is_tree = F.col("q_state") == "tree"
+    trees = opened.where(is_tree).select("grp", "node", F.col("q_root").alias("root"), (F.col("dist") + F.col("q_dist")).alias("dist"), F.col("q_state").alias("state"), *[F.concat_ws(SEP, "q_path", c).alias(c) for c in path])
+    loops = opened.where(~is_tree).select("grp", "node", "parent", "exit", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("bigint").alias("dist"), F.col("q_state").alias("state")).join(own, ["grp", "node"], "left")
     out = ["grp", "node", "root", "dist", "state"]
-    marked = loops.mapInPandas(lambda it: _whole(it, _mark_rings, out), "grp string, node string, root string, dist bigint, state string")
-    return closed.unionByName(trees).unionByName(marked)
-
+    marked = _in_fragments(loops, large, parts, level).mapInPandas(lambda it: _whole(it, _mark_rings, out), "grp string, node string, root string, dist bigint, state string")
+    return closed.unionByName(trees).unionByName(marked.withColumns({c: F.lit(None).cast("string") for c in path}))
 
-def _refragment(loops: DataFrame, local: DataFrame, fragment_rows: int, salt: int) -> tuple[DataFrame, int]:
-    """Rows in the fragments they were contracted in (sizes are those of the whole level)."""
-    large = local.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fragment_rows).withColumn("nb", F.ceil(F.col("n") / fragment_rows).cast("int")).drop("n")
-    rows = local.count()
-    parts = partitions_for(local.sparkSession, rows, fragment_rows)
-    placed = loops.join(large, "grp", "left").withColumn("frag", F.when(F.col("nb").isNotNull(), F.pmod(F.xxhash64("node", F.lit(salt)), F.col("nb"))).otherwise(F.lit(0))).drop("nb")
-    return placed.repartition(parts, "grp", "frag"), rows
 
-
-def hierarchy(nodes: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def hierarchy(nodes: DataFrame, fragment_rows: int | None = None, report: list[int] | None = None) -> DataFrame:
     """(grp, node, root_id, node_depth, node_state) of every node; root '' and depth -1 on and below cycles."""
-    solved = solve(nodes.withColumn("w", F.lit(1).cast("bigint")), fragment_rows)
+    solved = solve(nodes.withColumn("w", F.lit(1).cast("bigint")), fragment_rows, report=report)
     tree = F.col("state") == "tree"
     return solved.select("grp", "node", F.when(tree, F.col("root")).otherwise(F.lit("")).alias("root_id"), F.when(tree, F.col("dist")).otherwise(F.lit(-1)).cast("int").alias("node_depth"), F.col("state").alias("node_state"))
 
 
-def ancestors(nodes: DataFrame, solved: DataFrame) -> DataFrame:
-    """(grp, ancestor, node, distance) of every node of a tree and each node above it: all descendants, and all paths.
+def paths(nodes: DataFrame, fragment_rows: int | None = None) -> DataFrame:
+    """(grp, node, path): the ids from the root down to the node, of each node of a tree. Fragments' paths, expanded."""
+    escaped = F.replace(F.replace(F.col("node"), F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(SEP), F.lit(ESCAPE + "1"))
+    solved = solve(nodes.select("grp", "node", "parent", F.lit(1).cast("bigint").alias("w"), escaped.alias("seg")), fragment_rows)
+    ids = F.split("path", SEP)
+    plain = F.transform(ids, lambda x: F.replace(F.replace(x, F.lit(ESCAPE + "1"), F.lit(SEP)), F.lit(ESCAPE + "0"), F.lit(ESCAPE)))
+    return solved.where("state = 'tree'").select("grp", "node", F.when(F.contains("path", F.lit(ESCAPE)), plain).otherwise(ids).alias("path"))
+
 
-    Pairs at distance up to 2^k are joined with the pointer of 2^k steps, so there are log2(depth) joins, and no pair is
-    made twice. The result is as large as the sum of the depths, which is what is asked for.
+def joined(path: Column, by: str = "/") -> Column:
+    return F.array_join(path, by)
+
+
+def ancestors(path_rows: DataFrame) -> DataFrame:
+    """(grp, ancestor, node, distance) of every node of a tree and each node above it, that is all descendants, from ``paths``.
+
+    The result is as large as the sum of the depths, which is what is asked for; it is made without a join.
     """
-    spark = nodes.sparkSession
-    trees = solved.where("node_state = 'tree'").select("grp", "node", "node_depth")
-    deepest = trees.agg(F.max("node_depth")).first()[0] or 0
-    up = durable(nodes.where("parent is not null").join(trees.where("node_depth > 0").select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", F.col("parent").alias("up")), "up")
-    pairs, step, ptr = up.select("grp", F.col("up").alias("ancestor"), "node", F.lit(1).alias("distance")), 1, up
-    while step < deepest:
-        # only what is new is written: the pairs at distances above ``step`` and up to twice it
-        longer = durable(pairs.join(ptr.select("grp", F.col("node").alias("ancestor"), F.col("up").alias("further")), ["grp", "ancestor"]).select("grp", F.col("further").alias("ancestor"), "node", (F.col("distance") + step).alias("distance")), "pairs")
-        pairs = pairs.unionByName(longer)
-        step *= 2
-        ptr = longer.where(F.col("distance") == step).select("grp", "node", F.col("ancestor").alias("up"))
-    return pairs if deepest else spark.createDataFrame([], pairs.schema)
-
-
-def paths(above: DataFrame, solved: DataFrame) -> DataFrame:
-    """(grp, node, node_path): ids from the root down to the node, for nodes of trees."""
-    own = solved.where("node_state = 'tree'").select("grp", "node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    steps = above.select("grp", "node", "ancestor", "distance").unionByName(own)
-    listed = steps.groupBy("grp", "node").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("s"))
-    return listed.select("grp", "node", F.array_join(F.col("s.ancestor"), "/").alias("node_path"))
+    above = path_rows.where(F.size("path") > 1).select("grp", "node", F.size("path").alias("n"), F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "ancestor"))
+    return above.select("grp", "ancestor", "node", (F.col("n") - 1 - F.col("at")).alias("distance"))
 
 
 def descendant_counts(above: DataFrame) -> DataFrame:
     return above.groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("descendants"), F.max("distance").alias("height"))
 
 
-__all__ = ["FRAGMENT_ROWS", "ancestors", "descendant_counts", "hierarchy", "links", "paths", "solve"]
+__all__ = ["FRAGMENT_ROWS", "ancestors", "descendant_counts", "hierarchy", "joined", "links", "paths", "solve"]

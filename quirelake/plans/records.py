@@ -47,18 +47,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return _named(hierarchy.hierarchy(durable(_cells(spark, sf), "cells")))
 
 
-def _solved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    nodes = durable(_cells(spark, sf), "cells")
-    return nodes, durable(hierarchy.hierarchy(nodes), "hierarchy")
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.paths(durable(_cells(spark, sf), "cells"))
 
 
 def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, solved = _solved(spark, sf)
-    return _named(hierarchy.paths(hierarchy.ancestors(nodes, solved), solved))
+    return _named(_paths(spark, sf).withColumn("path", hierarchy.joined(F.col("path"))).withColumnRenamed("path", "node_path"))
 
 
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.ancestors(*_solved(spark, sf)).select(F.col("grp").alias("object_path"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("element_id"), "distance")
+    return hierarchy.ancestors(_paths(spark, sf)).select(F.col("grp").alias("object_path"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("element_id"), "distance")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -80,11 +80,29 @@ def test_hierarchy_against_brute_force(spark, fragment_rows):
     assert got == {(g, n): v for g, ps in groups.items() for n, v in brute(ps).items()}
 
 
-def test_hierarchy_pointer_doubling(spark):
-    parents = {f"c{i}": f"c{i - 1}" if i else None for i in range(40)} | {f"r{i}": f"r{(i + 1) % 9}" for i in range(9)} | {"t": "r0", "u": "t"}
-    nodes = spark.createDataFrame([("g", n, p, 1) for n, p in parents.items()], "grp string, node string, parent string, w long")
-    got = {r.node: (r.root or "", r.dist, r.state) for r in hierarchy._jump(nodes).collect()}
-    assert got == brute(parents)
+def test_hierarchy_paths_against_brute_force(spark):
+    parents = {f"c{i}": f"c{i - 1}" if i else None for i in range(90)} | {f"r{i}": f"r{(i + 1) % 9}" for i in range(9)} | {"t": "r0", "u": "t"}
+    parents |= {f"b{i}": f"b{i // 2}" if i else None for i in range(70)} | {"x\x1f1": "c5", "x\x1e0": "x\x1f1", "y": "x\x1e0"}
+
+    def up(n):
+        out = [n]
+        while parents[out[-1]] is not None:
+            out.append(parents[out[-1]])
+        return out[::-1]
+
+    nodes = spark.createDataFrame([("g", n, p) for n, p in parents.items()], "grp string, node string, parent string")
+    want = {n: up(n) for n, (_, _, state) in brute(parents).items() if state == "tree"}
+    for rows in (6, 30, None):
+        assert {r.node: r.path for r in hierarchy.paths(nodes, rows).collect()} == want
+
+
+def test_hierarchy_contracts_long_chains(spark):
+    n = 60_000
+    chain = spark.range(n).select(F.lit("g").alias("grp"), F.concat(F.lit("c"), "id").alias("node"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") - 1)).alias("parent"))
+    levels = []
+    solved = hierarchy.hierarchy(chain, n // 12, levels)
+    assert solved.where(F.col("node_depth") != F.substring("node", 2, 9).cast("int")).isEmpty() and solved.count() == n
+    assert len(levels) > 4 and all(b < 0.75 * a for a, b in zip(levels, levels[1:]))  # every level shrinks
 
 
 def test_hierarchy_links_paths_and_empty(spark):
@@ -93,9 +111,10 @@ def test_hierarchy_links_paths_and_empty(spark):
     nodes = hierarchy.links(df, "object_path", "f", "t", F.col("k") == "element")
     solved = hierarchy.hierarchy(nodes)
     assert {(r.grp, r.node): r.node_depth for r in solved.collect()} == {("o", "c_0"): 0, ("o", "c_1"): 1, ("o", "c_2"): 2, ("o", "c_3"): 0, ("o", "c_4"): 0, ("p", "c_2"): 0}
-    above = hierarchy.ancestors(nodes, solved)
+    listed = hierarchy.paths(nodes)
+    above = hierarchy.ancestors(listed)
     assert sorted((r.ancestor, r.node, r.distance) for r in above.collect()) == [("c_0", "c_1", 1), ("c_0", "c_2", 2), ("c_1", "c_2", 1)]
-    assert {r.node: r.node_path for r in hierarchy.paths(above, solved).where("grp = 'o'").collect()} == {"c_0": "c_0", "c_1": "c_0/c_1", "c_2": "c_0/c_1/c_2", "c_3": "c_3", "c_4": "c_4"}
+    assert {r.node: "/".join(r.path) for r in listed.where("grp = 'o'").collect()} == {"c_0": "c_0", "c_1": "c_0/c_1", "c_2": "c_0/c_1/c_2", "c_3": "c_3", "c_4": "c_4"}
     assert {(r.node, r.descendants, r.height) for r in hierarchy.descendant_counts(above).collect()} == {("c_0", 2, 2), ("c_1", 1, 1)}
     empty = nodes.limit(0)
     assert hierarchy.hierarchy(empty).count() == 0
