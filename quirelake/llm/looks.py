@@ -4,10 +4,10 @@
 ligatures, characters without a glyph, letters of other alphabets with the same shape. Case, accents, super- and
 subscripts, circled digits, fractions, the length of a dash and the number of blanks stay.
 
-Values are mapped character by character in SQL and grouped under the accent-sensitive UNICODE collation, which brings
-together what is composed differently; texts of a group with one text only are done. In the others an exact check of the
-mapped characters follows, a canonical member is chosen per class (the shortest, then the first by code points) and
-joined back.
+Values are mapped character by character in SQL; texts that no other equals when all marks are taken off are done. The
+others are grouped under the accent-sensitive UNICODE collation, which brings together what is composed differently and
+keeps apart what has other accents. In groups of several texts an exact check of the mapped characters follows, a
+canonical member is chosen per class (the shortest, then the first by code points) and joined back.
 
 Defined cases: null texts, and texts without a visible character, belong to no class and keep what they are; equal
 texts are one member of their class; a unit that arrives twice counts once, one that arrives with several texts counts
@@ -109,13 +109,17 @@ def look_udf(texts: pd.Series) -> pd.Series:
     return texts.map(look_form, na_action="ignore")
 
 
+#: No character; stands for those that become several.
+_SEVERAL = "\ufffe"
+
+
 @cache
-def _single() -> tuple[str, str, str]:
-    """(characters, what they become, characters that go or become several): what is mapped one by one.
+def _single() -> tuple[str, str]:
+    """(characters, what they become): what is mapped one by one; what has nothing to become goes.
 
     Composition is left out where it is all that differs: the collation does not see it.
     """
-    one, new, gone, several = [], [], [], []
+    one, new, gone = [], [], []
     known = table()
     for o in range(0x80, sys.maxunicode + 1):
         ch = chr(o)
@@ -123,15 +127,15 @@ def _single() -> tuple[str, str, str]:
             form = look_form(ch)
             if form == unicodedata.normalize("NFC", ch):
                 continue
-            if len(form) == 1:
+            if form:
                 one.append(ch)
-                new.append(form)
+                new.append(form if len(form) == 1 else _SEVERAL)
             else:
-                (several if form else gone).append(ch)
+                gone.append(ch)
     control = [chr(o) for o in known if o < 0x80]
     one += [c for c in control if known[ord(c)]]
     new += [known[ord(c)] for c in control if known[ord(c)]]
-    return "".join(one + gone + [c for c in control if not known[ord(c)]]), "".join(new), "".join(several)
+    return "".join(one + gone + [c for c in control if not known[ord(c)]]), "".join(new)
 
 
 def mapped(text: Column) -> Column:
@@ -139,24 +143,53 @@ def mapped(text: Column) -> Column:
 
     What becomes several characters, and marks that may stand in another order, are mapped in Python.
     """
-    old, new, several = _single()
-    plain = F.when(text.rlike(r"[^\n\x20-\x7e]"), F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), old, new)).otherwise(text)
-    hard = plain.rlike("[" + several + "\u1100-\u11ff]|[^\\x00-\\x7f]\\p{M}|^\\p{M}")
+    old, new = _single()
+    odd = text.rlike(r"[^\n\x20-\x7e]")
+    plain = F.when(odd, F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), old, new)).otherwise(text)
+    hard = odd & plain.rlike("[" + _SEVERAL + "\u1100-\u11ff]|[^\\x00-\\x7f]\\p{M}|^\\p{M}")
     return F.coalesce(look_udf(F.when(hard, text)), plain)
 
 
+@cache
+def _bases() -> tuple[str, str]:
+    """(characters, what is left of them without their marks): the letters that are composed, then the marks, which go."""
+    one, new, gone = [], [], []
+    for o in range(0x80, sys.maxunicode + 1):
+        ch = chr(o)
+        if 0xAC00 <= o < 0xD7A4 or 0xD800 <= o < 0xE000:
+            continue
+        if unicodedata.category(ch).startswith("M"):
+            gone.append(ch)
+        elif unicodedata.decomposition(ch)[:1] not in ("", "<"):
+            one.append(ch)
+            new.append(next(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.category(c).startswith("M")))
+    return "".join(one + gone), "".join(new)
+
+
+def without_marks(text: Column) -> Column:
+    """The text without its marks, composed or not: what is equal under the collation is equal in this too."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, *_bases())).otherwise(text)
+
+
 def _collated(column: str) -> Column:
     return F.expr(f"`{column}` COLLATE UNICODE")
 
 
+def _several(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(key) of which there are several texts; written, so that the planner sees how many there are, and whether they may be sent to all."""
+    return durable(rows.groupBy(key).agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first <> last").select(key, F.col("first").alias("group")), label)
+
+
 def alike_members(units: DataFrame, unit: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Classes of two texts or more: (text, class_key, canonical, n_variants), and their units (unit, text), each once."""
-    rows = units.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(text).alias("text")).withColumn("mapped", mapped(F.col("text")))
-    rows = rows.where(F.regexp_replace("mapped", r"\s+", "") != "").withColumn("key", _collated("mapped"))
-    groups = rows.groupBy("key").agg(F.min("text").alias("first"), F.max("text").alias("last"), F.min("mapped").alias("mapped")).where("first <> last")
-    # written: the planner sees how large they are, and whether they may be sent to all
-    groups = durable(groups.select(F.col("first").alias("group"), "mapped"), "groups").withColumn("key", _collated("mapped")).drop("mapped")
-    members = durable(rows.join(groups, "key").select("unit", "text", "group").distinct(), "members")
+    rows = units.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(text).alias("text"))
+    # written once, as both the groups and their members are read from it; only texts that differ from their mapped form have one
+    rows = durable(rows.withColumn("mapped", mapped(F.col("text"))).select("unit", "text", F.nullif("mapped", "text").alias("mapped")), "mapped").withColumn("mapped", F.coalesce("mapped", "text"))
+    rows = rows.where(F.col("mapped").rlike(r"\S")).withColumn("bare", without_marks(F.col("mapped")))
+    # comparing under a collation is dear: texts that no other equals even without marks are done
+    near = rows.join(_several(rows, "bare", "bare").select("bare"), "bare", "left_semi")
+    near = durable(near.select("unit", "text", "mapped").distinct(), "near").withColumn("key", _collated("mapped"))
+    members = durable(near.join(_several(near, "key", "groups"), "key").select("unit", "text", "group"), "members")
     looks = members.select("group", "text").distinct().withColumn("look", look_udf("text"))
     chosen = looks.groupBy("group", "look").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("c"), F.count(F.lit(1)).alias("n_variants"))
     forms = durable(looks.join(chosen.where("n_variants > 1"), ["group", "look"]).select("text", F.col("look").alias("class_key"), F.col("c.text").alias("canonical"), "n_variants"), "forms")
