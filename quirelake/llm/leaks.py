@@ -3,14 +3,15 @@
 Texts are brought to the form the eye reads (``looks``), cut into words (runs of letters and digits, without case), and
 each word is replaced by its template: a typed placeholder for numbers, cell addresses, names and units, else itself.
 Windows of twelve templates are hashed; windows of the corpus are hash-joined with those of the items, and the slots
-behind the placeholders are compared: all equal is a passage that leaked as it is, a consistent one-to-one replacement
-along the passage is a re-parameterised item.
+behind the placeholders are compared: all equal is a passage that leaked as it is. Windows that follow each other are one
+passage; a consistent one-to-one replacement along a passage of ``REPARAMETERISED_WORDS`` words or more, of which each
+window holds ``LITERAL_WORDS`` words that are no placeholders, is a re-parameterised item. Each passage is judged by itself.
 
 The items are the stated query set: they go to every task in blocks of at most ``BLOCK_WORDS`` words, so what is sent
 has a fixed bound; every row of the corpus is compared with all blocks, and the corpus is never shuffled.
 
 Defined cases: null texts and items match nothing; items under twelve words match nothing; an item matches a document
-once however often it occurs; repeated items each match; extra columns are ignored; ids may be null and stay so.
+once however often it occurs; repeated items each match; extra columns are ignored; ids may be of any type, and null.
 """
 
 from __future__ import annotations
@@ -24,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from quirelake.llm.looks import look_form
 
 WINDOW = 12
+#: Words of a window that are no placeholders, for it to count as re-parameterised; what is equal as it is needs none.
+LITERAL_WORDS = 6
+#: Words of a passage that counts as re-parameterised: two sentences of one pattern share twelve templates by chance.
+REPARAMETERISED_WORDS = 16
 #: Words of items sent to the tasks at once: about 100 MB.
 BLOCK_WORDS = 400_000
 #: Documents are handled in slices of about so many code points, so that a batch of long texts stays small.
@@ -96,7 +102,7 @@ def _rolled(values: np.ndarray) -> np.ndarray:
 class Matcher:
     """One block of items, ready to be searched in documents."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], names: frozenset[str]) -> None:
+    def __init__(self, items: list[tuple[list, list[str]]], names: frozenset[str]) -> None:
         self.items, self.names = items, names
         self.code: dict[str, int] = {}
         self.hashes: list[int] = []
@@ -148,45 +154,62 @@ class Matcher:
         found: dict[tuple[int, int], list] = {}
         for (t, k, shift), positions in lines.items():
             item = self.items[k][1]
-            kind = self._slots(item, flat, shift, positions)
-            if kind:
-                best = found.setdefault((t, k), [kind, 0, shift + positions[0] - int(starts[t])])
+            for kind, passage in self._passages(item, flat, shift, positions):
+                first = shift + passage[0] - int(starts[t])
+                best = found.setdefault((t, k), [kind, 0, first])
                 if kind == "verbatim" and best[0] != kind:
-                    best[:] = [kind, 0, shift + positions[0] - int(starts[t])]
+                    best[:] = [kind, 0, first]
                 if kind == best[0]:
-                    best[1] += len(positions)
-                    best[2] = min(best[2], shift + positions[0] - int(starts[t]))
+                    best[1] += len(passage)
+                    best[2] = min(best[2], first)
         for (t, k), (kind, n, first) in found.items():
             yield t, k, kind, n, first
 
-    def _slots(self, item: list[str], flat: list[str], shift: int, positions: list[int]) -> str:
-        """Compare what stands behind the placeholders of windows on one line."""
-        if any(item[p : p + WINDOW] == flat[shift + p : shift + p + WINDOW] for p in positions):
-            return "verbatim"
+    def _passages(self, item: list[str], flat: list[str], shift: int, positions: list[int]) -> Iterator[tuple[str, list[int]]]:
+        """Compare what stands behind the placeholders, by passages: windows on one line that follow each other."""
+        passage: list[int] = []
+        for p in [*positions, -WINDOW]:
+            if passage and p != passage[-1] + 1:
+                same = [q for q in passage if item[q : q + WINDOW] == flat[shift + q : shift + q + WINDOW]]
+                if same:
+                    yield "verbatim", same
+                elif self._consistent(item, flat, shift, passage):
+                    yield "re-parameterised", passage
+                passage = []
+            passage.append(p)
+
+    def _consistent(self, item: list[str], flat: list[str], shift: int, passage: list[int]) -> bool:
+        if len(passage) + WINDOW - 1 < REPARAMETERISED_WORDS:
+            return False
         there: dict[tuple[str, str], str] = {}
         back: dict[tuple[str, str], str] = {}
-        for p in dict.fromkeys(q for p in positions for q in range(p, p + WINDOW)):
+        literal = []
+        for p in range(passage[0], passage[-1] + WINDOW):
             a, b = item[p], flat[shift + p]
             kind = template_of(a, self.names)
+            literal.append(kind == a)
             if kind != template_of(b, self.names) or there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                return ""
-        return "re-parameterised"
+                return False
+        return all(sum(literal[i : i + WINDOW]) >= LITERAL_WORDS for i in range(len(passage)))
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, lang: str, parts: DataFrame, part: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, leak_kind, windows, first_word) of each document and item that share a window of templates."""
     rows = [tuple(r) for r in items.where(F.col(item_text).isNotNull()).select(item_id, lang, item_text).orderBy(item_id, item_text).toLocalIterator()]
     names = known_names([(r[1] or "", r[2]) for r in rows], [r[0] for r in parts.where(F.col(part).isNotNull()).select(part).toLocalIterator()])
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
+    alike: dict[tuple[str, ...], list] = {}  # items that are repeated are searched once
     for key, _, item in rows:
-        words = words_of(item)
+        words = tuple(words_of(item))
+        if len(words) >= WINDOW:
+            alike.setdefault(words, []).append(key)
+    blocks: list[list[tuple[list, list[str]]]] = [[]]
+    size = 0
+    for words, keys in alike.items():
         if size and size + len(words) > block_words:
             blocks.append([])
             size = 0
-        if len(words) >= WINDOW:
-            blocks[-1].append((key, words))
-            size += len(words)
+        blocks[-1].append((keys, list(words)))
+        size += len(words)
     kinds = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("leak_kind", T.StringType()),
         T.StructField("windows", T.IntegerType()), T.StructField("first_word", T.IntegerType()),
@@ -201,9 +224,10 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
 
 def _searcher(sent, kinds: T.StructType):
+    item_type = to_arrow_type(kinds["item_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*sent.value)
-        keys = pa.array([k for k, _ in matcher.items])
         for batch in batches:
             rows: list[tuple] = []
             texts, first, weight = [], 0, 0
@@ -212,12 +236,12 @@ def _searcher(sent, kinds: T.StructType):
                 texts.append(t)
                 weight += len(t)
                 if weight >= SLICE_CHARS or i == batch.num_rows - 1:
-                    rows += [(first + a, *rest) for a, *rest in matcher.search(texts)]
+                    rows += [(first + a, key, *rest) for a, k, *rest in matcher.search(texts) for key in matcher.items[k][0]]
                     texts, first, weight = [], i + 1, 0
             if rows:
                 doc, item, kind, n, start = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc, pa.int64())), keys.take(pa.array(item, pa.int64())).cast(pa.int64()), pa.array(kind, pa.string()), pa.array(n, pa.int32()), pa.array(start, pa.int32())],
+                    [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, item_type), pa.array(kind, pa.string()), pa.array(n, pa.int32()), pa.array(start, pa.int32())],
                     names=kinds.names,
                 )
 

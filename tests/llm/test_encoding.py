@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,3 +35,24 @@ def test_encode_corpus(spark):
     twice = encoding.encode_corpus(df.where("doc_id = 1").unionByName(df.where("doc_id = 1")), "doc_id", "text")
     assert [list(r.ids) for r in twice.collect()] == [got[1], got[1]]
     assert encoding.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_repeated_filter_and_full_filter(spark, monkeypatch):
+    own = encoding.encoder()
+    passage = " ".join(f"w{k}" for k in range(900))
+    texts = {1: passage, 2: "before it " + passage, 3: "nothing shared at all", 4: passage + " and after", 5: " ".join(f"v{k}" for k in range(900))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    want = {str(k): own.encode_ordinary(v) for k, v in texts.items()}
+    held = []
+    real = encoding.repeated_filter
+    monkeypatch.setattr(encoding, "repeated_filter", lambda *a: held.append(real(*a)) or held[-1])
+    assert {r.doc_id: list(r.ids) for r in encoding.encode_corpus(df, "doc_id", "text").collect()} == want
+    counts = {}
+    for t in texts.values():
+        for u in encoding.units_of(t):
+            counts[encoding._digest(u)] = counts.get(encoding._digest(u), 0) + 1
+    repeated = {int(encoding._bits(np.frombuffer(d, np.uint8), encoding.FILTER_BITS)[0]) for d, n in counts.items() if n > 1}
+    assert repeated and set(np.flatnonzero(np.unpackbits(held[0], bitorder="little")).tolist()) == repeated
+    # a filter that holds everything changes no result
+    monkeypatch.setattr(encoding, "repeated_filter", lambda *a: np.full(encoding.FILTER_BITS // 8, 255, np.uint8))
+    assert {r.doc_id: list(r.ids) for r in encoding.encode_corpus(df, "doc_id", "text").collect()} == want

@@ -59,3 +59,76 @@ def test_blocks_give_the_same(spark):
     one = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", p, "name_part").collect()
     many = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", p, "name_part", block_words=30).collect()
     assert sorted(one) == sorted(many) and len(one) == 5
+
+
+def test_windows_of_placeholders_alone_are_no_leak(spark):
+    numbers = " ".join(str(k) for k in range(100, 114))
+    rows = frames(spark, [(1, " ".join(str(k) for k in range(500, 514)), None), (2, numbers, None)], [(1, "en", numbers)]).collect()
+    assert [(r.doc_id, r.leak_kind) for r in rows] == [(2, "verbatim")]
+
+
+def test_passages_are_judged_by_themselves(spark):
+    clean = "after the audit of 12 ledgers in March the clerk left every renewal sealed and 40 pallets waived"
+    item = "yet 203 of the silos stayed rural and 203 of them were posted twice before a break " + clean
+    text = item.replace("203", "117", 1).replace("203", "118").replace("a break", "some pause").replace("12", "31").replace("40", "77")
+    rows = frames(spark, [(1, text, None)], [(1, "en", item)]).collect()
+    assert [(r.leak_kind, r.windows) for r in rows] == [("re-parameterised", len(clean.split()) - 11)]
+
+
+def test_ids_of_other_types(spark):
+    d = spark.createDataFrame([("d", ITEM), (None, ITEM)], "doc_id string, text string")
+    i = spark.createDataFrame([("x", "en", ITEM), ("y", "en", ITEM), (None, "en", ITEM)], "item_id string, lang string, item_text string")
+    got = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", spark.createDataFrame([("a",)], "name_part string"), "name_part")
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(a, b) for a in ("d", None) for b in ("x", "y", None)}
+
+
+def _sentences(rng):
+    nouns, verbs, adjectives = "ledger broker pivot silo barge panel coupon roster kiosk tenant waybill valve".split(), "waived merged halved queued disputed matched renamed recast shelved weighed".split(), "frozen rural joint overdue narrow bonded dormant spare mixed sealed".split()
+    w = lambda x: rng.choice(x)
+    return [
+        f"After {{m}} {{n}} each {w(nouns)} of {{p}} {w(verbs)} its {w(adjectives)} {w(nouns)} yet {{n}} of the {w(nouns)}s stayed {w(adjectives)} and one {w(nouns)} was {w(verbs)} twice.",
+        f"Whoever {w(verbs)} the {w(nouns)} also {w(verbs)} {{n}} {w(nouns)}s, so the {w(adjectives)} {w(nouns)} in {{c}} equals {{n}} {{u}} of the {w(nouns)} from {{p}}.",
+        f"If the {w(nouns)} is {w(adjectives)}, the {w(nouns)} in {{c}} must be {w(verbs)}; if it is {w(adjectives)}, the {w(nouns)} costs {{n}} {{u}} per {w(nouns)}.",
+    ]
+
+
+def _filled(rng, sentence):
+    import re
+
+    slots = {"m": "March April June July August".split(), "p": "Bexford Dunmarsh Quillbay Hollowford Ostravale".split(), "u": "EUR USD kg".split()}
+    fresh = lambda kind: str(rng.randrange(10, 9999)) if kind == "n" else f"{rng.choice('ABCDEFG')}{rng.randrange(1, 300)}" if kind == "c" else rng.choice(slots[kind])
+    return re.sub(r"\{(.)\}", lambda m: fresh(m[1]), sentence)
+
+
+def _again(rng, item):
+    """The item with other numbers, cells, months, places and units: each value is replaced by one that nothing else became."""
+    import re
+
+    lists = ["March April June July August".split(), "Bexford Dunmarsh Quillbay Hollowford Ostravale".split(), "EUR USD kg".split()]
+    turned = {w: ws[(k + 1) % len(ws)] for ws in lists for k, w in enumerate(ws)}
+    shift = rng.randrange(10_000, 20_000)
+    word = lambda w: turned.get(w) or (f"{w[0]}{int(w[1:]) + 300}" if re.fullmatch(r"[A-G][0-9]+", w) else str(int(w) + shift) if w.isdigit() else w)
+    return re.sub(r"\w+", lambda m: word(m.group()), item)
+
+
+def test_recall_and_precision_of_planted_items(spark):
+    """Items whose slots were filled anew are found, texts of the same sentence patterns with other words are not."""
+    rng = random.Random(11)
+    names = spark.createDataFrame([(n,) for n in "Bexford Dunmarsh Quillbay Hollowford Ostravale".split()], "name_part string")
+    patterns = [" ".join(rng.sample(_sentences(rng), 3)) for _ in range(40)]
+    items = [(k, "en", _filled(rng, p)) for k, p in enumerate(patterns)]
+    docs, want = [], set()
+    for d in range(600):
+        other = " ".join(_filled(rng, s) for s in _sentences(rng))
+        if d % 3 == 0:
+            k = rng.randrange(40)
+            docs.append((d, f"{other} {_again(rng, items[k][2])} {other}"))
+            want.add((d, k))
+        else:
+            docs.append((d, other))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, lang string, item_text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", names, "name_part").collect()}
+    recall, precision = len(got & want) / len(want), len(got & want) / len(got)
+    print(recall, precision)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
