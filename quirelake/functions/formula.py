@@ -121,9 +121,28 @@ def references(formula: str | None) -> list[dict]:
 REFERENCE_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n[1:].isdigit() else T.StringType()) for n in ("kind", "sheet", "r1", "c1", "r2", "c2", "name")]))
 
 
+#: Texts that a task keeps what it found in; then it starts again.
+MEMO_TEXTS = 20_000
+
+
+class _Memo(dict):
+    """What a function gives for a text; the same formulas stand in many cells."""
+
+    def __init__(self, work: Callable) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, text):
+        if len(self) >= MEMO_TEXTS:
+            self.clear()
+        out = self[text] = self.work(text)
+        return out
+
+
 @F.pandas_udf(REFERENCE_TYPE)
 def references_udf(formulas: pd.Series) -> pd.Series:
-    return formulas.map(references)
+    memo = _Memo(references)
+    return formulas.map(lambda f: memo[f] if isinstance(f, str) else references(None))
 
 
 def parsed(df: DataFrame, keys: list[str], formula: str) -> DataFrame:
@@ -131,11 +150,15 @@ def parsed(df: DataFrame, keys: list[str], formula: str) -> DataFrame:
     inner = REFERENCE_TYPE.elementType.fields
     schema = T.StructType([df.schema[k] for k in keys] + list(inner))
 
+    def rows_of(text: str) -> set[tuple]:
+        return {("name", None, None, None, None, None, x.name) if isinstance(x, Name) else ("ref", x.sheet, x.r1, x.c1, x.r2, x.c2, None) for x in scan(text)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(rows_of)
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                seen = {("name", None, None, None, None, None, x.name) if isinstance(x, Name) else ("ref", x.sheet, x.r1, x.c1, x.r2, x.c2, None) for x in scan(text)}
+                seen = memo[text]
                 at += [i] * len(seen)
                 rows += seen
             if rows:
@@ -222,6 +245,7 @@ def shift_sqref(sqref: str, axis: str, at: int, count: int, insert: bool) -> str
 def shift_formula_column(formula: Column, own_sheet: Column, edited_sheet: str, axis: str, at: int, count: int, insert: bool) -> Column:
     @F.pandas_udf(T.StringType())
     def run(formulas: pd.Series, sheets: pd.Series) -> pd.Series:
-        return pd.Series([None if f is None else shift_formula(f, s, edited_sheet, axis, at, count, insert) for f, s in zip(formulas, sheets)], dtype=object)
+        memo = _Memo(lambda pair: shift_formula(*pair, edited_sheet, axis, at, count, insert))
+        return pd.Series([None if f is None else memo[f, s] for f, s in zip(formulas, sheets)], dtype=object)
 
     return run(formula, own_sheet)

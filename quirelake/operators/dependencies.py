@@ -1,8 +1,9 @@
 """Formula dependencies as joins: edges from formulas, what a cell uses, what uses a cell, and what an edit touches.
 
-Rectangles stay rectangles. "Which ranges hold this cell" is an equi join on the sheet and on blocks of 64 rows and 16
-columns that a rectangle covers, with the exact containment behind it; rectangles over more blocks than
-``WIDE_BLOCKS`` are joined on the sheet alone, so no rectangle is ever blown up. Sheets compare without case.
+Rectangles stay rectangles. Every rectangle has a level for its rows and one for its columns: the blocks of a level are
+twice as long as those of the level before, and the level is the first at which it lies in two blocks at most. So a
+rectangle of any size stands for four blocks or fewer. "Which ranges hold this cell" is an equi join on the sheet, the
+levels that occur, and the blocks, with the exact containment behind it. Sheets compare without case.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from quirelake.functions import a1
 from quirelake.functions.formula import parsed, references_udf
 from quirelake.session import durable
 
-ROW_BLOCK, COL_BLOCK, WIDE_BLOCKS = 64, 16, 256
+#: Blocks of level 0.
+ROW_BLOCK, COL_BLOCK = 64, 16
+#: Sheets have 2^20 rows and 2^14 columns, so no level is above these.
+ROW_LEVELS, COL_LEVELS = 15, 11
 
 
 def formula_edges(cells: DataFrame, names: DataFrame) -> DataFrame:
@@ -44,21 +48,46 @@ def forward(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return edges.join(sources.select("object_path", F.col("element_id").alias("from_id")).distinct(), ["object_path", "from_id"], "left_semi")
 
 
-def _blocks(low: Column, high: Column, size: int) -> Column:
-    return F.sequence(F.floor((low - 1) / size), F.floor((high - 1) / size))
+def _block(at: Column, size: int, level: Column) -> Column:
+    """The block of a row or column at a level."""
+    return F.floor((at - 1) / (F.lit(size) * F.pow(F.lit(2), level))).cast("bigint")
+
+
+def _level(low: Column, high: Column, size: int, levels: int) -> Column:
+    """The first level at which a span lies in two blocks at most."""
+    fits = [F.when(_block(high, size, F.lit(k)) - _block(low, size, F.lit(k)) <= 1, k) for k in range(levels)]
+    return F.coalesce(*fits, F.lit(levels)).cast("int")
+
+
+def _leveled(ranges: DataFrame) -> DataFrame:
+    return ranges.withColumns({"rl": _level(F.col("r1"), F.col("r2"), ROW_BLOCK, ROW_LEVELS), "cl": _level(F.col("c1"), F.col("c2"), COL_BLOCK, COL_LEVELS)})
+
+
+def _used_levels(leveled: DataFrame) -> list[tuple[int, int]]:
+    """The levels that occur, at most (ROW_LEVELS + 1) x (COL_LEVELS + 1)."""
+    return sorted((r.rl, r.cl) for r in leveled.select("rl", "cl").distinct().collect())
+
+
+def _level_array(levels: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(r).alias("rl"), F.lit(c).alias("cl")) for r, c in levels])
+
+
+def _over(low: str, high: str, size: int, level: str) -> Column:
+    return F.explode(F.sequence(_block(F.col(low), size, F.col(level)), _block(F.col(high), size, F.col(level))))
 
 
 def containing(cells: DataFrame, ranges: DataFrame, cell_columns: list[str], range_columns: list[str]) -> DataFrame:
     """Cells (object_path, sheet_key, row, col, ...) with the ranges (object_path, sheet_key, r1, c1, r2, c2, ...) that hold them."""
-    n_blocks = (F.floor((F.col("r2") - 1) / ROW_BLOCK) - F.floor((F.col("r1") - 1) / ROW_BLOCK) + 1) * (F.floor((F.col("c2") - 1) / COL_BLOCK) - F.floor((F.col("c1") - 1) / COL_BLOCK) + 1)
-    sized = ranges.withColumn("n_blocks", n_blocks)
     inside = (F.col("row") >= F.col("r1")) & (F.col("row") <= F.col("r2")) & (F.col("col") >= F.col("c1")) & (F.col("col") <= F.col("c2"))
     out = ["object_path", "sheet_key", *cell_columns, *range_columns]
-    small = sized.where(F.col("n_blocks") <= WIDE_BLOCKS).withColumn("rb", F.explode(_blocks(F.col("r1"), F.col("r2"), ROW_BLOCK))).withColumn("cb", F.explode(_blocks(F.col("c1"), F.col("c2"), COL_BLOCK)))
-    placed = cells.withColumn("rb", F.floor((F.col("row") - 1) / ROW_BLOCK)).withColumn("cb", F.floor((F.col("col") - 1) / COL_BLOCK))
-    near = placed.join(small, ["object_path", "sheet_key", "rb", "cb"]).where(inside).select(*out)
-    wide = cells.join(sized.where(F.col("n_blocks") > WIDE_BLOCKS), ["object_path", "sheet_key"]).where(inside).select(*out)
-    return near.unionByName(wide)
+    leveled = _leveled(ranges.where("r1 is not null and c1 is not null and r2 is not null and c2 is not null"))
+    levels = _used_levels(leveled)
+    if not levels:
+        return cells.join(ranges, ["object_path", "sheet_key"]).where(inside).select(*out)
+    laid = leveled.withColumn("rb", _over("r1", "r2", ROW_BLOCK, "rl")).withColumn("cb", _over("c1", "c2", COL_BLOCK, "cl"))
+    probes = cells.withColumn("_l", F.explode(_level_array(levels))).withColumns({"rl": F.col("_l.rl"), "cl": F.col("_l.cl")}).drop("_l")
+    placed = probes.withColumns({"rb": _block(F.col("row"), ROW_BLOCK, F.col("rl")), "cb": _block(F.col("col"), COL_BLOCK, F.col("cl"))})
+    return placed.join(laid, ["object_path", "sheet_key", "rl", "cl", "rb", "cb"]).where(inside).select(*out)
 
 
 def reverse(edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -83,12 +112,21 @@ def impact(edges: DataFrame, edited: DataFrame, cells: DataFrame) -> DataFrame:
 def overlapping(ranges: DataFrame, key: str) -> DataFrame:
     """(key, overlaps): ranges (object_path, sheet_key, r1, c1, r2, c2, key) that share a cell with another of their sheet.
 
-    Ranges meet in the blocks they cover, and a pair counts where its common rectangle begins, so it comes out once.
+    Two ranges meet in blocks of the higher of their levels, by rows and by columns, and a pair counts in the block where
+    its common rectangle begins, so it comes out once.
     """
-    size = [F.explode(_blocks(F.col("r1"), F.col("r2"), ROW_BLOCK * 4)), F.explode(_blocks(F.col("c1"), F.col("c2"), COL_BLOCK * 4))]
-    cut = ranges.withColumn("rb", size[0]).withColumn("cb", size[1])
-    other = cut.select("object_path", "sheet_key", "rb", "cb", *[F.col(c).alias(f"o_{c}") for c in ("r1", "c1", "r2", "c2", key)])
+    leveled = _leveled(ranges.where("r1 is not null and c1 is not null and r2 is not null and c2 is not null"))
+    used = _used_levels(leveled)
+    if not used:
+        return leveled.select(key, F.lit(0).cast("bigint").alias("overlaps")).limit(0)
+    meeting = sorted({(max(a[0], b[0]), max(a[1], b[1])) for a in used for b in used})
+    raised = leveled.withColumns({"own_rl": F.col("rl"), "own_cl": F.col("cl")}).drop("rl", "cl")
+    raised = raised.withColumn("_l", F.explode(F.filter(_level_array(meeting), lambda x: (x.rl >= F.col("own_rl")) & (x.cl >= F.col("own_cl"))))).withColumns({"rl": F.col("_l.rl"), "cl": F.col("_l.cl")}).drop("_l")
+    cut = raised.withColumn("rb", _over("r1", "r2", ROW_BLOCK, "rl")).withColumn("cb", _over("c1", "c2", COL_BLOCK, "cl"))
+    own = ["r1", "c1", "r2", "c2", "own_rl", "own_cl", key]
+    other = cut.select("object_path", "sheet_key", "rl", "cl", "rb", "cb", *[F.col(c).alias(f"o_{c}") for c in own])
     first_row, first_col = F.greatest("r1", "o_r1"), F.greatest("c1", "o_c1")
-    begins = (F.floor((first_row - 1) / (ROW_BLOCK * 4)) == F.col("rb")) & (F.floor((first_col - 1) / (COL_BLOCK * 4)) == F.col("cb"))
-    meet = (F.col("r1") <= F.col("o_r2")) & (F.col("o_r1") <= F.col("r2")) & (F.col("c1") <= F.col("o_c2")) & (F.col("o_c1") <= F.col("c2")) & (F.col(key) != F.col(f"o_{key}")) & begins
-    return cut.join(other, ["object_path", "sheet_key", "rb", "cb"]).where(meet).groupBy(key).agg(F.count(F.lit(1)).alias("overlaps"))
+    begins = (_block(first_row, ROW_BLOCK, F.col("rl")) == F.col("rb")) & (_block(first_col, COL_BLOCK, F.col("cl")) == F.col("cb"))
+    here = (F.greatest("own_rl", "o_own_rl") == F.col("rl")) & (F.greatest("own_cl", "o_own_cl") == F.col("cl"))
+    meet = (F.col("r1") <= F.col("o_r2")) & (F.col("o_r1") <= F.col("r2")) & (F.col("c1") <= F.col("o_c2")) & (F.col("o_c1") <= F.col("c2")) & (F.col(key) != F.col(f"o_{key}")) & begins & here
+    return cut.join(other, ["object_path", "sheet_key", "rl", "cl", "rb", "cb"]).where(meet).groupBy(key).agg(F.count(F.lit(1)).alias("overlaps"))

@@ -8,14 +8,17 @@ damaged documents), so it runs in ``mapInArrow``; everything around it stays in
 Defined cases: null, empty and damaged payloads give no rows; a byte-order mark before the document is skipped; a null
 entry takes a position but gives no row; a lone object counts as position 0; JSON held in a string is read as that JSON
 at any depth; an entry that is itself a list is walked but is no row; of repeated artifacts the one parsed last counts
-(ties: the greater payload); extra columns of the input are ignored; an id that is null is an id of its own.
+(ties: the greater payload); extra columns of the input are ignored; an id that is null is an id of its own; half a
+surrogate pair stands for no character and becomes U+FFFD; numbers keep the way they are written.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,10 +41,29 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+#: Stands before numbers that a float does not write as they were; made anew in each process, so no text begins with it.
+_AS_WRITTEN = f"\ue000{uuid.uuid4().hex}:"
+_WRITTEN = re.compile(f'"{_AS_WRITTEN}([-+.0-9eE]+)"')
+
+
+def _number(text: str):
+    value = float(text)
+    return value if repr(value) == text else _AS_WRITTEN + text
+
+
 _decoder = json.JSONDecoder(parse_constant=_no_constant)
+#: Floats that would be written otherwise become marked strings.
+_keeping_decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_number)
+#: Escapes: a backslash, a whole surrogate pair, half of one.
+_SURROGATES = re.compile(r"\\\\|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|(\\u[dD][89a-fA-F][0-9a-fA-F]{2})")
+
+
+def _whole_characters(text: str) -> str:
+    """The document with U+FFFD for escapes of half a surrogate pair, which no string may hold."""
+    return _SURROGATES.sub(lambda m: "\\ufffd" if m.group(1) else m.group(), text) if "\\ud" in text or "\\uD" in text else text
 
 
-def _load_deep(text: str):
+def _load_deep(text: str, decoder: json.JSONDecoder = _decoder):
     """JSON nested too deeply for the C scanner: the same grammar with an explicit stack."""
     stack: list = []
     done, pos, n = _BAD, 0, len(text)
@@ -74,7 +96,7 @@ def _load_deep(text: str):
         elif expect in ("key", "first_key"):
             if quoted is None:
                 raise ValueError("key")
-            key, expect = _decoder.decode(quoted), "colon"
+            key, expect = decoder.decode(quoted), "colon"
             continue
         elif expect not in ("value", "first_value"):
             raise ValueError("value")
@@ -83,7 +105,7 @@ def _load_deep(text: str):
             key, expect = None, "first_key" if mark == "{" else "first_value"
             continue
         else:
-            value = _decoder.decode(quoted) if quoted is not None else _WORDS[word] if word else json.loads(number)
+            value = decoder.decode(quoted) if quoted is not None else _WORDS[word] if word else decoder.decode(number)
         if not stack:
             done = value
             continue
@@ -98,40 +120,42 @@ def _load_deep(text: str):
     return done
 
 
-def read_json(text: str | None):
+def read_json(text: str | None, decoder: json.JSONDecoder = _decoder):
     """The value of a complete JSON document, or the marker ``_BAD``."""
     if not text:
         return _BAD
+    text = _whole_characters(text.strip(_BLANK))
     try:
-        return _decoder.decode(text.strip(_BLANK))
+        return decoder.decode(text)
     except RecursionError:
         try:
-            return _load_deep(text.strip(_BLANK))
+            return _load_deep(text, decoder)
         except ValueError:
             return _BAD
     except ValueError:
         return _BAD
 
 
-def unwrap(value):
+def unwrap(value, decoder: json.JSONDecoder = _decoder):
     """JSON held in a string, however often it was wrapped, as that JSON; anything else as it is."""
     while isinstance(value, str):
         head = value.lstrip(_BLANK)[:1]
         if head not in ("{", "[", '"') or not head:
             return value
-        inner = read_json(value)
+        inner = read_json(value, decoder)
         if not isinstance(inner, (dict, list, str)) or inner is _BAD:
             return value
         value = inner
     return value
 
 
-def label_records(payload: str | None, lists: frozenset[str] = frozenset(RECORD_LISTS)) -> Iterator[tuple[str, int, str, int, dict]]:
+def label_records(payload: str | None, lists: frozenset[str] = frozenset(RECORD_LISTS), as_written: bool = False) -> Iterator[tuple[str, int, str, int, dict]]:
     """(label, length of the parent's label within it, list name, ordinal, record) of every record, in document order."""
-    top = read_json(payload)
+    decoder = _keeping_decoder if as_written else _decoder
+    top = read_json(payload, decoder)
     if top is _BAD:
         return
-    top = unwrap(top)
+    top = unwrap(top, decoder)
     if not isinstance(top, (dict, list)):
         return
     stack: list[tuple] = [(top, "", 0)]
@@ -141,7 +165,7 @@ def label_records(payload: str | None, lists: frozenset[str] = frozenset(RECORD_
         if isinstance(value, dict):
             for name, child in value.items():
                 if isinstance(child, str):
-                    child = unwrap(child)
+                    child = unwrap(child, decoder)
                 if not isinstance(child, (dict, list)):
                     continue
                 at = f"{label}.{name}" if label else name
@@ -154,7 +178,7 @@ def label_records(payload: str | None, lists: frozenset[str] = frozenset(RECORD_
                 else:
                     for i, item in enumerate(child):
                         if isinstance(item, str):
-                            item = unwrap(item)
+                            item = unwrap(item, decoder)
                         if isinstance(item, dict):
                             entry = f"{at}[{i}]"
                             yield entry, cut, name, i, item
@@ -164,7 +188,7 @@ def label_records(payload: str | None, lists: frozenset[str] = frozenset(RECORD_
         else:
             for i, item in enumerate(value):
                 if isinstance(item, str):
-                    item = unwrap(item)
+                    item = unwrap(item, decoder)
                 if isinstance(item, (dict, list)):
                     below.append((item, f"{label}[{i}]", cut))
         stack.extend(reversed(below))
@@ -176,7 +200,8 @@ def _holds_json(value) -> bool:
 
 def own_fields(record: dict, lists: frozenset[str]) -> str:
     """The record without the lists that became rows of their own, as JSON."""
-    return json.dumps({k: v for k, v in record.items() if not (k in lists and (isinstance(v, (dict, list)) or _holds_json(v)))}, ensure_ascii=False)
+    text = json.dumps({k: v for k, v in record.items() if not (k in lists and (isinstance(v, (dict, list)) or _holds_json(v)))}, ensure_ascii=False)
+    return _WRITTEN.sub(r"\1", text) if _AS_WRITTEN in text else text
 
 
 def latest_payloads(df: DataFrame, key: str, payload: str, order: str) -> DataFrame:
@@ -185,9 +210,13 @@ def latest_payloads(df: DataFrame, key: str, payload: str, order: str) -> DataFr
     return df.groupBy(F.col(key).alias("k")).agg(F.max(rank).alias("m")).select("k", F.col("m.p").alias("p"))
 
 
-def flatten_records(df: DataFrame, key: str, payload: str, order: str, lists: Iterable[str] = RECORD_LISTS, values: bool = True) -> DataFrame:
-    """Rows (key, record_path, parent_path, schema_path, list_name, ordinal, depth[, record]) of every nested record."""
+def flatten_records(df: DataFrame, key: str, payload: str, order: str, lists: Iterable[str] = RECORD_LISTS, values: bool = True, only: Iterable[str] | None = None) -> DataFrame:
+    """Rows (key, record_path, parent_path, schema_path, list_name, ordinal, depth[, record]) of every nested record.
+
+    ``only`` names the lists whose rows are wanted; the others are walked, but neither written nor passed on.
+    """
     names = frozenset(lists)
+    wanted = names if only is None else frozenset(only)
     kind = df.schema[key].dataType
     fields = [T.StructField(key, kind), T.StructField("record_path", T.StringType()), T.StructField("parent_path", T.StringType()), T.StructField("list_name", T.StringType()), T.StructField("ordinal", T.IntegerType())]
     if values:
@@ -198,7 +227,9 @@ def flatten_records(df: DataFrame, key: str, payload: str, order: str, lists: It
             ids, texts = batch.column(0), batch.column(1)
             at, path, parent, lname, ordinal, record = [], [], [], [], [], []
             for i in range(batch.num_rows):
-                for label, cut, name, k, rec in label_records(texts[i].as_py(), names):
+                for label, cut, name, k, rec in label_records(texts[i].as_py(), names, values):
+                    if name not in wanted:
+                        continue
                     at.append(i)
                     path.append(label)
                     parent.append(label[:cut])
@@ -228,8 +259,23 @@ def schema_path(label: Column) -> Column:
     return F.regexp_replace(label, r"\[\d+\]", "")
 
 
-def record_table(records: DataFrame, key: str, lists: Iterable[str], columns: dict[str, str]) -> DataFrame:
-    """One flat table: the records of ``lists`` with the given JSON fields (path: type) as typed columns."""
-    picked = records.where(F.col("list_name").isin(*lists))
+def in_table(path: Column, table: str) -> Column:
+    """Whether a schema path is that of a table: the table's path, wherever in a document it begins."""
+    return (path == table) | path.endswith("." + table)
+
+
+def record_table(records: DataFrame, key: str, tables: Iterable[str], columns: dict[str, str]) -> DataFrame:
+    """One flat table: the records of the given schema paths with their JSON fields (path: type) as typed columns."""
+    picked = records.where(reduce(Column.__or__, [in_table(F.col("schema_path"), t) for t in tables]))
     typed = [F.expr(f"try_variant_get(v, '$.{path}', '{kind}')").alias(path.replace(".", "_")) for path, kind in columns.items()]
     return picked.withColumn("v", F.try_parse_json("record")).select(key, "record_path", "parent_path", *typed)
+
+
+def write_tables(records: DataFrame, folder: str) -> DataFrame:
+    """Write all records once, a folder for each list and in it the rows by schema path, and give them as they are read back.
+
+    Tables of one or several schema paths are then read without parsing a payload again: ``record_table`` over what this
+    gives reads only the folders and row groups of its paths.
+    """
+    records.repartition("list_name", "schema_path", F.pmod(F.xxhash64("record_path"), F.lit(max(1, records.sparkSession.sparkContext.defaultParallelism)))).sortWithinPartitions("list_name", "schema_path").write.partitionBy("list_name").parquet(folder)
+    return records.sparkSession.read.schema(records.schema).parquet(folder)

@@ -15,7 +15,6 @@ tables give none.
 from __future__ import annotations
 
 import json
-import uuid
 import zlib
 from collections.abc import Callable
 from functools import reduce
@@ -23,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.session import durable, files_in, make_folder, partitions_for, read_text, remove, shared_folder, write_text
+from quirelake.session import durable, files_in, make_folder, partitions_for, read_text, remove, shared_place, write_text
 
 NO_HASH = "-"
 #: Rows of one bucket over all generations that are written together.
@@ -66,7 +65,7 @@ class SnapshotIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
         self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        self.path = path or shared_place(spark, "index")
         self.table = f"quirelake_index_{zlib.crc32(self.path.encode()):08x}"
         self.version, self.live = 0, []
         for version in sorted((int(n[8:-5]) for n in files_in(spark, self.path) if n.startswith("pointer-") and n.endswith(".json")), reverse=True)[:1]:

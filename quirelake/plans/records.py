@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.operators import dewey, hierarchy, snapshots
-from quirelake.session import durable, table
+from quirelake.session import durable, shared_place, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,21 +18,39 @@ def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     return dewey.flatten_records(table(spark, sf, "artifacts"), "artifact_id", "payload", "parsed_at")
 
 
-#: The flat tables of the four models: their lists, and the fields with their types.
+#: The flat tables of the four models: their schema paths, and the fields with their types.
 RECORD_TABLES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "p1_sheets": (("sheets",), {"element_id": "string", "name": "string", "index": "int", "dimensions.rows": "int", "dimensions.cols": "int"}),
-    "p1_cells": (("cells",), {"element_id": "string", "address": "string", "row": "int", "col": "int", "value.kind": "string", "value.value": "string", "formula": "string", "style_id": "string", "number_format": "string", "text": "string"}),
+    "p1_cells": (("sheets.cells",), {"element_id": "string", "address": "string", "row": "int", "col": "int", "value.kind": "string", "value.value": "string", "formula": "string", "style_id": "string", "number_format": "string"}),
+    "p1_named_ranges": (("named_ranges",), {"element_id": "string", "name": "string", "formula": "string"}),
+    "p1_styles": (("style_table",), {"style_id": "string"}),
+    "p1_comments": (("comments",), {"element_id": "string", "author": "string", "text": "string", "sheet": "string", "cell": "string", "paragraph": "string", "index": "int", "slide": "string", "page": "int", "subtype": "string", "contents": "string"}),
+    "p1_charts": (("charts",), {"element_id": "string", "title": "string", "slide": "string"}),
+    "p1_pictures": (("pictures",), {"element_id": "string", "sheet": "string", "name": "string", "content_type": "string", "index": "int", "part": "string"}),
     "p1_paragraphs": (("paragraphs", "header_paragraphs", "footer_paragraphs"), {"element_id": "string", "index": "int", "part": "string", "style_id": "string", "outline_level": "int", "text": "string", "editable": "boolean", "in_table": "boolean"}),
     "p1_slides": (("slides",), {"element_id": "string", "name": "string", "index": "int", "part_name": "string", "notes": "string"}),
-    "p1_shapes": (("shapes",), {"element_id": "string", "name": "string", "text": "string"}),
+    "p1_shapes": (("slides.shapes",), {"element_id": "string", "name": "string", "text": "string"}),
+    "p1_slide_tables": (("slides.tables",), {"element_id": "string", "name": "string"}),
+    "p1_table_cells": (("tables.cells",), {"element_id": "string", "row": "int", "col": "int", "text": "string"}),
     "p1_pages": (("pages",), {"element_id": "string", "number": "int", "text": "string", "rotate": "int"}),
     "p1_fields": (("fields",), {"element_id": "string", "name": "string", "field_type": "string", "value": "string", "read_only": "boolean", "required": "boolean"}),
 }
 
 
 def _record_table(name: str):
-    lists, columns = RECORD_TABLES[name]
-    return lambda spark, sf: dewey.record_table(p1_records(spark, sf), "artifact_id", lists, columns)
+    tables, columns = RECORD_TABLES[name]
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        records = dewey.flatten_records(table(spark, sf, "artifacts"), "artifact_id", "payload", "parsed_at", only=[t.rpartition(".")[2] for t in tables])
+        return dewey.record_table(records, "artifact_id", tables, columns)
+
+    return run
+
+
+def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables written once by schema path: their records, the artifacts these come from, and those without a parent."""
+    written = dewey.write_tables(p1_records(spark, sf), shared_place(spark, "tables"))
+    return written.groupBy("schema_path", "list_name").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("artifact_id").alias("artifacts"), F.count_if(F.col("parent_path") == "").alias("at_top"))
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +86,7 @@ def p5_values(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.with_old_values(p5_found(spark, sf), rows, "object_path", "snapshot_no", "name", "part_hash", ["part_hash", "uncompressed_size"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, **{n: _record_table(n) for n in RECORD_TABLES}, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_values": p5_values}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_tables": p1_tables, **{n: _record_table(n) for n in RECORD_TABLES}, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_values": p5_values}
 
 _TREE = """WITH RECURSIVE
 e AS (SELECT object_path, lower(trim(from_element_id)) AS node, CASE WHEN target_kind = 'element' THEN lower(trim(target_element_id)) END AS parent FROM dep_edges),

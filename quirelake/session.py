@@ -38,10 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def shared_place(spark: SparkSession, label: str) -> str:
+    """A new place of this application in the shared folder; ``forget`` removes it."""
+    return f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quirelake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = shared_place(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -214,6 +214,7 @@ def patch_pdf(blob: bytes, fields: dict[str, dict]) -> bytes:
     root = pdf.get(pdf.trailer["Root"])
     form = pdf.get(root.get("AcroForm")) or {}
     new: dict[int, dict] = {}
+    found: set[str] = set()
     stack = [(r, "") for r in pdf.get(form.get("Fields")) or []]
     while stack:
         ref, above = stack.pop()
@@ -238,7 +239,8 @@ def patch_pdf(blob: bytes, fields: dict[str, dict]) -> bytes:
                     changed.pop("MaxLen", None)
                     changed |= {"MaxLen": value} if value else {}
             new[int(ref)] = changed
-    missing = set(fields) - {n for n in fields if any(True for _ in new)}
+            found.add(name)
+    missing = set(fields) - found
     if missing:
         raise NotWritable(f"no field {sorted(missing)}")
     out = bytearray(blob if blob.endswith(b"\n") else blob + b"\n")

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import dewey, hierarchy, snapshots
+from quirelake.operators import dewey, hierarchy, search, snapshots
 
 
 def labels(payload):
@@ -42,11 +42,41 @@ def test_dewey_rows(spark):
     df = spark.createDataFrame([(1, doc, t[0], "x"), (1, doc, t[1], "y"), (2, None, t[0], None), (3, "{", t[0], None), (None, doc, t[0], None), (4, doc, None, None)], "artifact_id long, payload string, parsed_at timestamp, record_path string")
     rows = dewey.flatten_records(df, "artifact_id", "payload", "parsed_at")
     assert sorted((r.artifact_id or 0, r.record_path, r.parent_path, r.schema_path, r.depth) for r in rows.collect()) == sorted((k, *x) for k in (0, 1, 4) for x in (("sheets[0]", "", "sheets", 1), ("sheets[0].cells[0]", "sheets[0]", "sheets.cells", 2)))
-    cells = dewey.record_table(rows, "artifact_id", ("cells",), {"address": "string", "value.value": "double"}).where("artifact_id = 1").collect()
+    cells = dewey.record_table(rows, "artifact_id", ("sheets.cells",), {"address": "string", "value.value": "double"}).where("artifact_id = 1").collect()
     assert [(c.address, c.value_value) for c in cells] == [("A1", 1.5)]
     assert dewey.flatten_records(df.limit(0), "artifact_id", "payload", "parsed_at").count() == 0
 
 
+def test_dewey_keeps_numbers_and_survives_half_surrogates(spark):
+    texts = [
+        '{"pages": [{"text": "a\\ud800b", "n": 1.50, "big": 1e400, "long": 0.1234567890123456789012, "i": 12345678901234567890123, "ok": 2.5, "pair": "\\ud83d\\ude00", "back": "\\\\ud800"}]}',
+        '{"pages": [{"text": "sound", "n": 2.5}]}',
+        json.dumps({"pages": json.dumps([{"text": "in", "n": "x"}]).replace("in", "\\ud800").replace('"x"', "7.10")}),
+    ]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "artifact_id long, payload string, parsed_at long")
+    rows = {r.artifact_id: r.record for r in dewey.flatten_records(df, "artifact_id", "payload", "parsed_at").collect()}
+    assert rows[0] == '{"text": "a\ufffdb", "n": 1.50, "big": 1e400, "long": 0.1234567890123456789012, "i": 12345678901234567890123, "ok": 2.5, "pair": "😀", "back": "\\\\ud800"}'
+    assert rows[1] == '{"text": "sound", "n": 2.5}' and rows[2] == '{"text": "\ufffd", "n": 7.10}'
+    pages = dewey.record_table(dewey.flatten_records(df, "artifact_id", "payload", "parsed_at"), "artifact_id", ("pages",), {"text": "string"})
+    assert {r.artifact_id: r.text for r in pages.collect()} == {0: "a\ufffdb", 1: "sound", 2: "\ufffd"}
+    deep = '{"x":' * 5_000 + '{"pages":[{"v":1.50}]}' + "}" * 5_000
+    assert [dewey.own_fields(r, frozenset()) for *_, r in dewey.label_records(deep, as_written=True)] == ['{"v": 1.50}']
+    assert [r.leaf for r in search.model_leaves(df.where("artifact_id = 0"), "artifact_id", "payload").where("key_path like '%text'").collect()] == ["a\ufffdb"]
+
+
+def test_dewey_tables_by_schema_path(spark, tmp_path):
+    docs = [{"sheets": [{"name": "A", "cells": [{"address": "A1"}, {"address": "A2"}]}]}, {"slides": [{"tables": [{"cells": {"row": 1}}], "shapes": [{"text": "x"}]}]}, {"model": {"sheets": [{"cells": [{"address": "B1"}]}]}}]
+    df = spark.createDataFrame([(i, json.dumps(d), i, "z") for i, d in enumerate(docs)], "artifact_id long, payload string, parsed_at long, list_name string")
+    rows = dewey.flatten_records(df, "artifact_id", "payload", "parsed_at")
+    written = dewey.write_tables(rows, "file://" + str(tmp_path / "tables"))
+    assert sorted(map(tuple, written.select(sorted(rows.columns)).collect())) == sorted(map(tuple, rows.select(sorted(rows.columns)).collect()))
+    cells = dewey.record_table(written, "artifact_id", ("sheets.cells",), {"address": "string"})
+    assert sorted((r.record_path, r.address) for r in cells.collect()) == [("model.sheets[0].cells[0]", "B1"), ("sheets[0].cells[0]", "A1"), ("sheets[0].cells[1]", "A2")]
+    assert [r.record_path for r in dewey.record_table(written, "artifact_id", ("tables.cells",), {"row": "int"}).collect()] == ["slides[0].tables[0].cells[0]"]
+    only = dewey.flatten_records(df, "artifact_id", "payload", "parsed_at", only=["shapes"])
+    assert [r.schema_path for r in only.collect()] == ["slides.shapes"]
+
+
 def brute(parents):
     out = {}
     for n in parents:
