@@ -442,7 +442,7 @@ class Workspace:
             else:
                 _, diffs, t = self._try(path, row, staged.kind, staged.payload, tx_id)
                 try:
-                    after = write_back(row.format_id, before, diffs)
+                    after = write_back(row.format_id, before, diffs, json.loads(staged.payload))
                 except NotWritable as error:
                     raise WorkspaceError("unsupported_capability", str(error)) from error
                 if row.format_id == "xlsx":

@@ -48,7 +48,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_place(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quirelake_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``durable`` wrote, once nothing is read from it any more."""
+    remove(df.sparkSession, df._quirelake_path)
 
 
 def forget(spark: SparkSession) -> None:

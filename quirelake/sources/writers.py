@@ -1,8 +1,9 @@
 """Writing edits back into files: only the parts that change are made anew, all other bytes are copied.
 
-What can be written back: cells and formulas of spreadsheets, texts of paragraphs, shapes and slide tables, values and
-flags of form fields, and whole earlier states. After cells change, what was calculated from formulas is no longer
-true: their values and the calculation chain are dropped, and the file asks to be calculated when it is opened.
+What can be written back: cells and formulas of spreadsheets, texts of paragraphs and shapes, what ``markup`` knows of
+structure and looks, values and flags of form fields, turned pages, notes and descriptions of PDF files, and whole
+earlier states. After cells change, what was calculated from formulas is no longer true: their values and the
+calculation chain are dropped, and the file asks to be calculated when it is opened.
 """
 
 from __future__ import annotations
@@ -15,54 +16,13 @@ import tempfile
 import zipfile
 from xml.etree import ElementTree as ET
 
-from quirelake.functions.formula import column_index
+from quirelake.sources import markup
 from quirelake.sources import office as of
+from quirelake.sources.markup import NotWritable, cell_of, dump, listed_paragraphs, load, set_lines, set_runs
 from quirelake.sources.packages import splice
 from quirelake.sources.pdf import FLAGS, Name, Pdf, Ref
 
 
-class NotWritable(ValueError):
-    """An edit of a kind, or a target, that cannot be written back into a file."""
-
-
-def _load(blob: bytes) -> ET.Element:
-    for _, (prefix, uri) in ET.iterparse(io.BytesIO(blob), events=["start-ns"]):
-        if not re.fullmatch(r"ns\d+", prefix):
-            ET.register_namespace(prefix, uri)
-    return ET.fromstring(blob)
-
-
-def _dump(root: ET.Element) -> bytes:
-    return b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + ET.tostring(root, encoding="utf-8")
-
-
-def _place(rows: ET.Element, address: str) -> ET.Element:
-    """The cell of an address, put in where it belongs if it is not there."""
-    m = re.fullmatch(r"([A-Z]+)(\d+)", address)
-    number, col = int(m.group(2)), column_index(m.group(1))
-    at, row = 0, None
-    for at, r in enumerate(rows):
-        if int(r.get("r", at + 1)) == number:
-            row = r
-            break
-        if int(r.get("r", at + 1)) > number:
-            break
-    else:
-        at = len(rows)
-    if row is None:
-        row = ET.Element(of.S + "row", {"r": str(number)})
-        rows.insert(at, row)
-    for i, c in enumerate(row):
-        here = column_index(re.match(r"[A-Z]+", c.get("r", "A")).group())
-        if here == col:
-            return c
-        if here > col:
-            new = ET.Element(of.S + "c", {"r": address})
-            row.insert(i, new)
-            return new
-    return ET.SubElement(row, of.S + "c", {"r": address})
-
-
 def _fill(cell: ET.Element, value: dict) -> None:
     style = cell.get("s")
     address = cell.get("r")
@@ -91,14 +51,14 @@ def patch_xlsx(blob: bytes, cells: dict[tuple[str, str], dict]) -> bytes:
     with zipfile.ZipFile(io.BytesIO(blob)) as z:
         book_part = of._first(z, "", "officeDocument") or "xl/workbook.xml"
         rels = of._relations(z, book_part)
-        book = _load(z.read(book_part))
+        book = load(z.read(book_part))
         sheets = {n.get("name"): rels[n.get(of.R + "id")][1] for n in book.iter(of.S + "sheet")}
         for name, part in sheets.items():
             raw = z.read(part)
             mine = {a: v for (s, a), v in cells.items() if s == name}
             if not mine and b"<f" not in raw and b":f" not in raw:
                 continue
-            root = _load(raw)
+            root = load(raw)
             data = root.find(of.S + "sheetData")
             for c in data.iter(of.S + "c"):
                 if c.find(of.S + "f") is not None:
@@ -106,61 +66,43 @@ def patch_xlsx(blob: bytes, cells: dict[tuple[str, str], dict]) -> bytes:
                         c.remove(v)
                     c.attrib.pop("t", None)
             for address, value in mine.items():
-                _fill(_place(data, address), value)
-            changes[part] = _dump(root)
+                _fill(cell_of(data, address), value)
+            changes[part] = dump(root)
         calc = book.find(of.S + "calcPr")
         if calc is None:
             calc = ET.SubElement(book, of.S + "calcPr")
         calc.set("fullCalcOnLoad", "1")
         calc.set("forceFullCalc", "1")
-        changes[book_part] = _dump(book)
+        changes[book_part] = dump(book)
         chain = next((p for k, p in rels.values() if k == "calcChain"), None)
         if chain:
             folder, _, base = book_part.rpartition("/")
             part = f"{folder}/_rels/{base}.rels"
-            root = _load(z.read(part))
+            root = load(z.read(part))
             for rel in list(root):
                 if rel.get("Type", "").endswith("/calcChain"):
                     root.remove(rel)
-            changes |= {part: _dump(root), chain: None}
+            changes |= {part: dump(root), chain: None}
             if "[Content_Types].xml" in z.namelist():
-                types = _load(z.read("[Content_Types].xml"))
+                types = load(z.read("[Content_Types].xml"))
                 for t in list(types):
                     if t.get("PartName") == "/" + chain:
                         types.remove(t)
-                changes["[Content_Types].xml"] = _dump(types)
+                changes["[Content_Types].xml"] = dump(types)
     return splice(blob, changes)
 
 
-def _set_runs(p: ET.Element, text: str, run: str, t: str, props: str) -> None:
-    """A paragraph's text in one run with the looks of its first."""
-    first = next(p.iter(run), None)
-    looks = first.find(props) if first is not None else None
-    for node in list(p):
-        if node.tag != props.replace("rPr", "pPr") and not node.tag.endswith("}endParaRPr"):
-            p.remove(node)
-    r = ET.Element(run)
-    if looks is not None:
-        r.append(looks)
-    body = ET.SubElement(r, t)
-    body.text = text
-    if " " in (text[:1], text[-1:]):
-        body.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-    at = next((i for i, n in enumerate(p) if n.tag.endswith("}endParaRPr")), len(p))
-    p.insert(at, r)
-
-
 def patch_docx(blob: bytes, texts: dict[int, str]) -> bytes:
     """New texts of paragraphs by index."""
     with zipfile.ZipFile(io.BytesIO(blob)) as z:
         main = of._first(z, "", "officeDocument") or "word/document.xml"
-        root = _load(z.read(main))
-    listed = list(root.find(of.W + "body").iter(of.W + "p"))
+        root = load(z.read(main))
+    listed = listed_paragraphs(root.find(of.W + "body"))
     for index, text in texts.items():
         if index >= len(listed):
             raise NotWritable(f"no paragraph {index}")
-        _set_runs(listed[index], text, of.W + "r", of.W + "t", of.W + "rPr")
-    return splice(blob, {main: _dump(root)})
+        set_runs(listed[index], text, of.W + "r", of.W + "t", of.W + "rPr")
+    return splice(blob, {main: dump(root)})
 
 
 def patch_pptx(blob: bytes, texts: dict[tuple[str, str], str]) -> bytes:
@@ -169,19 +111,14 @@ def patch_pptx(blob: bytes, texts: dict[tuple[str, str], str]) -> bytes:
     slides = {s["name"]: s["part_name"] for s in of.parse_pptx(blob)["slides"]}
     with zipfile.ZipFile(io.BytesIO(blob)) as z:
         for slide in {s for s, _ in texts}:
-            root = _load(z.read(slides[slide]))
+            root = load(z.read(slides[slide]))
             for sp in root.iter(of.P + "sp"):
                 name = next((n.get("name", "") for n in sp.iter(of.P + "cNvPr")), "")
                 body = sp.find(of.P + "txBody")
                 if (slide, name) not in texts or body is None:
                     continue
-                paragraphs = body.findall(of.A + "p")
-                lines = texts[slide, name].split("\n")
-                for extra in paragraphs[len(lines) :]:
-                    body.remove(extra)
-                for k, line in enumerate(lines):
-                    _set_runs(paragraphs[k] if k < len(paragraphs) else ET.SubElement(body, of.A + "p"), line, of.A + "r", of.A + "t", of.A + "rPr")
-            changes[slides[slide]] = _dump(root)
+                set_lines(body, texts[slide, name])
+            changes[slides[slide]] = dump(root)
     return splice(blob, changes)
 
 
@@ -243,6 +180,11 @@ def patch_pdf(blob: bytes, fields: dict[str, dict]) -> bytes:
     missing = set(fields) - found
     if missing:
         raise NotWritable(f"no field {sorted(missing)}")
+    return _updated(pdf, blob, new)
+
+
+def _updated(pdf: Pdf, blob: bytes, new: dict[int, dict], info: int | None = None) -> bytes:
+    """The file with objects written behind it; what was there stays as it is."""
     out = bytearray(blob if blob.endswith(b"\n") else blob + b"\n")
     places = {}
     for number, value in new.items():
@@ -251,12 +193,53 @@ def patch_pdf(blob: bytes, fields: dict[str, dict]) -> bytes:
     at = len(out)
     out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, p) for n, p in sorted(places.items()))
     before = re.findall(rb"startxref\s+(\d+)", blob)
-    trailer = {k: v for k, v in pdf.trailer.items() if k in ("Root", "Info", "ID", "Size")} | {"Size": max([*pdf.places, 0]) + 1} | ({"Prev": int(before[-1])} if before else {})
+    trailer = {k: v for k, v in pdf.trailer.items() if k in ("Root", "Info", "ID")} | {"Size": max([*pdf.places, *new, 0]) + 1} | ({"Info": Ref(info)} if info else {}) | ({"Prev": int(before[-1])} if before else {})
     return bytes(out + b"trailer\n" + _written(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
 
 
-def write_back(fmt: str, blob: bytes, diffs: list[dict]) -> bytes:
-    """The file with the differences an edit makes (rows of ``edits``: kind, target, before, after) written into it."""
+def patch_pdf_document(blob: bytes, kind: str, payload: dict) -> bytes:
+    """A turned page, a note on a page, or the description of the file, appended as an update."""
+    pdf = Pdf(blob)
+    if pdf.encrypted:
+        raise NotWritable("the file is encrypted")
+    fresh = max([*pdf.places, 0]) + 1
+    if kind in ("set_document_metadata", "clear_document_metadata"):
+        ref = pdf.trailer.get("Info")
+        known = dict(pdf.get(ref) or {}) if ref is not None else {}
+        for key in ("title", "author", "subject"):
+            if kind == "clear_document_metadata":
+                known.pop(key.capitalize(), None)
+            elif payload.get(key) is not None:
+                known[key.capitalize()] = payload[key]
+        at = int(ref) if isinstance(ref, Ref) else fresh
+        return _updated(pdf, blob, {at: known}, at)
+    pages = pdf.pages()
+    if not 1 <= payload["page"] <= len(pages) or not isinstance(pages[payload["page"] - 1][0], Ref):
+        raise NotWritable(f"no page {payload['page']}")
+    ref = pages[payload["page"] - 1][0]
+    page = dict(pdf.get(ref))
+    if kind == "rotate_page":
+        return _updated(pdf, blob, {int(ref): page | {"Rotate": payload["degrees"]}})
+    note = {"Type": Name("Annot"), "Subtype": Name("Text"), "Rect": [36, 36, 56, 56], "Contents": payload["contents"], "P": ref} | ({"T": payload["author"]} if payload.get("author") else {})
+    return _updated(pdf, blob, {fresh: note, int(ref): page | {"Annots": [*(pdf.get(page.get("Annots")) or []), Ref(fresh)]}})
+
+
+#: Kinds of edits of PDF files that concern pages or the whole file.
+PDF_DOCUMENT = frozenset({"set_document_metadata", "clear_document_metadata", "rotate_page", "insert_comment"})
+
+
+def write_back(fmt: str, blob: bytes, diffs: list[dict], payload: dict | None = None) -> bytes:
+    """The file with the differences an edit makes (rows of ``edits``: kind, target, before, after) written into it.
+
+    ``payload`` is that of the edit; kinds that change structure or looks need it.
+    """
+    kind = diffs[0]["kind"]
+    if fmt in markup.KINDS and kind in markup.KINDS[fmt][1] and payload is not None:
+        return markup.rewrite(fmt, blob, kind, payload, diffs)
+    if fmt == "pdf" and kind in PDF_DOCUMENT and payload is not None:
+        return patch_pdf_document(blob, kind, payload)
+    if fmt == "pdf" and any(d["change"] != "changed" for d in diffs):
+        raise NotWritable("pictures are not written into PDF files")
     if fmt == "xlsx":
         if any(d["kind"] not in ("set_cell_value", "set_cell_formula", "set_range") for d in diffs):
             raise NotWritable("only cells are written back into spreadsheets")
@@ -284,4 +267,4 @@ def replace_file(path: str, blob: bytes) -> None:
     os.replace(beside, path)
 
 
-__all__ = ["NotWritable", "patch_docx", "patch_pdf", "patch_pptx", "patch_xlsx", "replace_file", "write_back"]
+__all__ = ["NotWritable", "patch_docx", "patch_pdf", "patch_pdf_document", "patch_pptx", "patch_xlsx", "replace_file", "write_back"]

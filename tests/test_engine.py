@@ -100,8 +100,11 @@ def test_write_back_of_the_other_formats(ws, tmp_path):
     fields = {f["name"]: f for f in pdf.parse_pdf((tmp_path / "e.pdf").read_bytes())["fields"]}
     assert fields["Agree"]["value"] == "Off" and fields["Agree"]["required"] and fields["form.Name"]["value"] == "A"
     ws.edit("c.docx", "set_paragraph_bold", {"index": 0, "bold": True}, "x5")
+    ws.edit("c.docx", "insert_paragraph", {"after": 0, "text": "second"}, "x6")
+    assert ws.apply_all("c.docx") == [1, 2] and ws.read("c.docx", "paragraphs", "0:2").content == "Title\nsecond"
+    ws.edit("c.docx", "insert_comment", {"index": 0, "text": "why"}, "x7")
     with pytest.raises(WorkspaceError, match="unsupported_capability"):
-        ws.apply("c.docx", "x5")
+        ws.apply("c.docx", "x7")
     with pytest.raises(writers.NotWritable):
         writers.patch_pdf(form(), {"Nope": {"value": "x"}})
 
