@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import a1, ids
 from quirelake.functions import text as tx
-from quirelake.functions.formats import NUMBER_FORMATS
-from quirelake.operators import dependencies, grid, search, status, versions
+from quirelake.functions.formats import number_format
+from quirelake.operators import dependencies, grid, reads, search, status, versions
 from quirelake.session import table
+from quirelake.sources import packages
+from quirelake.streaming import access
 
 BLANKS = tx.BLANK
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,21 +53,11 @@ def search_lines(spark: SparkSession, sf: str) -> DataFrame:
     return search.cap_per_file(hits, "line_no").select(F.col("path").alias("doc_id"), "line_no", "snippet", "hit_no")
 
 
-@query(
-    "search_models",
-    f"""
-WITH v AS (SELECT artifact_id, payload FROM artifacts WHERE json_valid(payload)),
-t AS (SELECT DISTINCT artifact_id, key, atom, type FROM (SELECT v.artifact_id, j.key, j.type, j.path, j.fullkey, json_extract_string(j.atom, '$') AS atom FROM v, json_tree(v.payload) j)
-      WHERE type = 'VARCHAR' AND key IN ('text', 'title', 'notes', 'author', 'contents'))
-SELECT artifact_id, key AS field_name, substring(atom, 1, 160) AS snippet FROM t WHERE contains({_fold('atom')}, 'margin')""",
-)
+@query("search_models")
 def search_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Content leaves of the models that hold the needle, by the field they stand in."""
-    rows = table(spark, sf, "artifacts")
-    near = rows.where(F.contains(tx.fold(F.col("payload")), F.lit("margin")) | F.col("payload").contains("\\u"))
-    leaves = search.model_leaves(near, "artifact_id", "payload").where(tx.contains_folded(F.col("leaf"), "margin"))
-    field = F.regexp_extract("key_path", r"([^.\[\]]+)$", 1)
-    return leaves.select(F.col("path").cast("bigint").alias("artifact_id"), field.alias("field_name"), "leaf").where("field_name in ('text', 'title', 'notes', 'author', 'contents')").distinct().select("artifact_id", "field_name", F.substring("leaf", 1, 160).alias("snippet"))
+    """Every leaf of the models that holds the needle, with the selector it can be read by again."""
+    hits = search.search_models(table(spark, sf, "artifacts"), "artifact_id", "payload", "margin")
+    return hits.select(F.col("path").cast("bigint").alias("artifact_id"), "key_path", "selector_kind", "selector_value", "snippet")
 
 
 @query("search_workspace")
@@ -79,10 +71,14 @@ def search_not_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return search.not_indexed(docs, "object_path", table(spark, sf, "artifacts"), "object_path")
 
 
-GLOBS = ["**", "*", "*/*", "finance/*", "finance/**", "**/*.xlsx", "*/memo-*.docx", "audit/2025/*", "*/2025/**/*.pptx", "legal/forms/*-00000*.docx", "**/forms/**", "board/*.pdf", "nowhere/**"]
+#: Globs, and what they mean as regular expressions over a path and a slash behind it.
+GLOBS = {
+    "**": "^.*/$", "*": "^[^/]+/$", "*/*": "^[^/]+/[^/]+/$", "finance/*": "^finance/[^/]+/$", "finance/**": "^finance/.*$", "**/*.xlsx": "^(.*/)?[^/]*[.]xlsx/$", "*/memo-*.docx": "^[^/]+/memo-[^/]*[.]docx/$", "audit/2025/*": "^audit/2025/[^/]+/$",
+    "*/2025/**/*.pptx": "^[^/]+/2025/(.*/)?[^/]*[.]pptx/$", "legal/forms/*-00000*.docx": "^legal/forms/[^/]*-00000[^/]*[.]docx/$", "**/forms/**": "^(.*/)?forms/.*$", "board/*.pdf": "^board/[^/]*[.]pdf/$", "nowhere/**": "^nowhere/.*$",
+}
 
 
-@query("glob_paths", 'WITH g("glob", rx) AS (VALUES ' + ", ".join(f"('{g}', '{tx.glob_regex(g)}')" for g in GLOBS) + "), p AS (SELECT DISTINCT object_path FROM artifacts) SELECT g.\"glob\", count(*) AS paths, min(object_path) AS first_path FROM p, g WHERE regexp_matches(object_path || '/', g.rx) GROUP BY g.\"glob\"")
+@query("glob_paths", 'WITH g("glob", rx) AS (VALUES ' + ", ".join(f"('{g}', '{rx}')" for g, rx in GLOBS.items()) + "), p AS (SELECT DISTINCT object_path FROM artifacts) SELECT g.\"glob\", count(*) AS paths, min(object_path) AS first_path FROM p, g WHERE regexp_matches(object_path || '/', g.rx) GROUP BY g.\"glob\"")
 def glob_paths(spark: SparkSession, sf: str) -> DataFrame:
     paths = table(spark, sf, "artifacts").select("object_path").distinct()
     hits = F.filter(F.array(*[F.when(tx.matches_glob(F.col("object_path"), g), F.lit(g)) for g in GLOBS]), lambda x: x.isNotNull())
@@ -132,7 +128,7 @@ def budget_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("docx_paragraphs", "SELECT object_path, idx, element_id, text FROM paragraphs WHERE idx >= 2 AND idx < 5")
 def docx_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "paragraphs").where("idx >= 2 and idx < 5").select("object_path", "idx", "element_id", "text")
+    return reads.paragraph_range(table(spark, sf, "paragraphs"), 2, 5).select("object_path", "idx", "element_id", "text")
 
 
 @query(
@@ -140,31 +136,27 @@ def docx_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT object_path, count(*) AS paragraphs, count(*) FILTER (WHERE coalesce(starts_with({_fold('style_id')}, 'heading'), false) OR outline_level IS NOT NULL) AS headings, count(*) FILTER (WHERE in_table) AS in_tables, count(*) FILTER (WHERE NOT editable) AS locked, CAST(sum(coalesce(ceil(length(text) / 4.0), 0)) AS BIGINT) AS tokens FROM paragraphs GROUP BY object_path",
 )
 def docx_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    heading = F.coalesce(tx.fold(F.col("style_id")).startswith("heading"), F.lit(False)) | F.col("outline_level").isNotNull()
-    return table(spark, sf, "paragraphs").groupBy("object_path").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(heading).alias("headings"), F.count_if("in_table").alias("in_tables"), F.count_if(~F.col("editable")).alias("locked"), F.sum(F.coalesce(tx.token_estimate(F.col("text")), F.lit(0))).alias("tokens"))
+    return reads.document_summary(table(spark, sf, "paragraphs"))
 
 
 @query("pptx_inspect", "SELECT object_path, slide, count(*) AS shapes, min_by(text, ord) FILTER (WHERE text IS NOT NULL) AS preview, string_agg(name, '|' ORDER BY ord, name) AS names FROM shapes GROUP BY ALL")
 def pptx_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.min(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))
-    names = F.sort_array(F.collect_list(F.struct("ord", "name")))
-    return table(spark, sf, "shapes").groupBy("object_path", "slide").agg(F.count(F.lit(1)).alias("shapes"), first.alias("f"), names.alias("n")).select("object_path", "slide", "shapes", F.col("f.text").alias("preview"), F.array_join("n.name", "|").alias("names"))
+    return reads.deck_summary(table(spark, sf, "shapes"))
 
 
 @query("pptx_slide", "SELECT object_path, slide, ord, name, text FROM shapes WHERE lower(slide) IN ('slide 2', 'slide2', '2')")
 def pptx_slide(spark: SparkSession, sf: str) -> DataFrame:
-    """A slide by its name, ``slideN`` or N, without case."""
-    return table(spark, sf, "shapes").where(F.lower("slide").isin("slide 2", "slide2", "2")).select("object_path", "slide", "ord", "name", "text")
+    return reads.slide_shapes(table(spark, sf, "shapes"), "Slide2").select("object_path", "slide", "ord", "name", "text")
 
 
 @query("pdf_inspect", "SELECT object_path, count(*) AS pages, count(rotate) AS rotated, max(page_number) AS last_page, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM pdf_pages GROUP BY object_path")
 def pdf_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pdf_pages").groupBy("object_path").agg(F.count(F.lit(1)).alias("pages"), F.count("rotate").alias("rotated"), F.max("page_number").alias("last_page"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).cast("bigint").alias("chars"))
+    return reads.form_summary(table(spark, sf, "pdf_pages"), "page_number")
 
 
 @query("pdf_page", "SELECT object_path, page_number, element_id, text, rotate FROM pdf_pages WHERE page_number = 2")
 def pdf_page(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pdf_pages").where("page_number = 2").select("object_path", "page_number", "element_id", "text", "rotate")
+    return reads.page(table(spark, sf, "pdf_pages"), 2, "page_number").select("object_path", "page_number", "element_id", "text", "rotate")
 
 
 # ---- addresses, grids
@@ -219,10 +211,9 @@ _ORDER_CELLS = """
 o AS (SELECT o_orderstatus AS object_path, 'Orders' AS sheet, CAST(o_orderkey % 997 + 1 AS INT) AS "row", min_by(o_custkey, o_orderkey) AS a, min_by(o_totalprice, o_orderkey) AS b, min_by(o_orderpriority, o_orderkey) AS d FROM orders GROUP BY ALL)"""
 
 
-@query("range_lines", f'WITH {_ORDER_CELLS} SELECT object_path, sheet, "row", \'| \' || CAST(a AS VARCHAR) || \' | \' || d || \' |\' AS line FROM o WHERE "row" BETWEEN 10 AND 400')
+@query("range_lines", f'WITH {_ORDER_CELLS} SELECT object_path, sheet, "row", \'| \' || CAST(a AS VARCHAR) || \' | \' || CASE WHEN b = floor(b) THEN CAST(CAST(b AS BIGINT) AS VARCHAR) ELSE CAST(b AS VARCHAR) END || \' | \' || d || \' |\' AS line FROM o')
 def range_lines(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _order_cells(spark, sf).where("col <> 2").where(grid.in_range(400, 6, 10, 1))
-    return grid.range_lines(cells)
+    return grid.range_lines(_order_cells(spark, sf))
 
 
 @query("range_markdown")
@@ -320,10 +311,10 @@ def deps_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("object_path", "from_id", "target_kind", "target_id", "selector", "name")
 
 
-@query("deps_forward", f"WITH {_EDGES_SQL}, {_CELLS_SQL} SELECT e.* FROM e SEMI JOIN (SELECT * FROM c WHERE col = 1) s ON e.object_path = s.object_path AND e.from_id = s.element_id")
+@query("deps_forward", f"WITH {_EDGES_SQL}, {_CELLS_SQL} SELECT e.* FROM e SEMI JOIN c s ON e.object_path = s.object_path AND e.from_id = s.element_id")
 def deps_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """What the cells of the first column use."""
-    return dependencies.forward(_edges(spark, sf), _cells(spark, sf).where("col = 1")).select("object_path", "from_id", "target_kind", "target_id", "selector", "name")
+    """What all cells use."""
+    return dependencies.forward(_edges(spark, sf), _cells(spark, sf)).select("object_path", "from_id", "target_kind", "target_id", "selector", "name")
 
 
 _REVERSE_SQL = f"""{_EDGES_SQL}, {_CELLS_SQL}, {_RANGES_SQL},
@@ -336,11 +327,11 @@ def deps_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return dependencies.reverse(_edges(spark, sf), _cells(spark, sf))
 
 
-@query("deps_impact", f"WITH {_REVERSE_SQL}, i AS (SELECT DISTINCT v.object_path, d.sheet || '!' || regexp_extract(t.from_cell, '([^!]*)$', 1) AS dependent FROM v JOIN (SELECT * FROM c WHERE \"row\" <= 50) s ON s.object_path = v.object_path AND s.element_id = v.element_id JOIN c d ON d.object_path = v.object_path AND d.element_id = v.from_id JOIN (SELECT DISTINCT object_path, lower(trim(from_element_id)) AS element_id, from_cell FROM dep_edges) t ON t.object_path = d.object_path AND t.element_id = d.element_id) SELECT object_path, string_agg(dependent, ',' ORDER BY dependent) AS dependents FROM i GROUP BY 1")
+@query("deps_impact", f"WITH {_REVERSE_SQL}, i AS (SELECT DISTINCT v.object_path, d.sheet || '!' || regexp_extract(t.from_cell, '([^!]*)$', 1) AS dependent FROM v JOIN c s ON s.object_path = v.object_path AND s.element_id = v.element_id JOIN c d ON d.object_path = v.object_path AND d.element_id = v.from_id JOIN (SELECT DISTINCT object_path, lower(trim(from_element_id)) AS element_id, from_cell FROM dep_edges) t ON t.object_path = d.object_path AND t.element_id = d.element_id) SELECT object_path, string_agg(dependent, ',' ORDER BY dependent) AS dependents FROM i GROUP BY 1")
 def deps_impact(spark: SparkSession, sf: str) -> DataFrame:
-    """The dependents of an edit of the first fifty rows of each workbook."""
+    """The dependents of an edit of all cells of each workbook."""
     cells = _cells(spark, sf)
-    return dependencies.impact(_edges(spark, sf), cells.where("row <= 50"), cells).select("object_path", F.array_join("dependents", ",").alias("dependents"))
+    return dependencies.impact(_edges(spark, sf), cells, cells).select("object_path", F.array_join("dependents", ",").alias("dependents"))
 
 
 def _formula_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -412,12 +403,12 @@ def semantic_diff(spark: SparkSession, sf: str) -> DataFrame:
     return versions.semantic_diff(side("l_linenumber <= 2"), side("l_linenumber >= 2"), ["part"], ["q"]).select("part", "change")
 
 
-@query("staging", "SELECT count(*) AS staged, (SELECT count(*) FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.event_id % 3 = 0 AND b.event_id % 2 = 0 AND b.event_id % 6 = 0 AND a.value > 10) AS conflicts FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0")
+@query("staging", "SELECT count(*) AS staged, count(*) FILTER (WHERE value > 10) AS conflicts FROM events")
 def staging(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third event is staged; then every second is, some of them again with another payload."""
+    """All events are staged, and all are delivered again, those of some value with another payload."""
     events = table(spark, sf, "events").select(F.col("event_id").alias("tx_id"), F.col("event_type").alias("payload"), "value")
-    first, second = events.where("tx_id % 3 = 0").select("tx_id", "payload"), events.where("tx_id % 2 = 0").select("tx_id", F.when(F.col("value") > 10, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")).alias("payload"))
-    after, conflicts = versions.stage(first, second)
+    again = events.select("tx_id", F.when(F.col("value") > 10, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")).alias("payload"))
+    after, conflicts = versions.stage(events.select("tx_id", "payload"), again)
     counts = after.select(F.lit(1).alias("staged"), F.lit(0).alias("conflicts")).unionByName(conflicts.select(F.lit(0).alias("staged"), F.lit(1).alias("conflicts")))
     return counts.agg(F.sum("staged").alias("staged"), F.sum("conflicts").alias("conflicts"))
 
@@ -492,18 +483,20 @@ def detect_format(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("part_dedupe", "SELECT count(*) AS parts, sum(b)::BIGINT AS stored_bytes, sum(n * b)::BIGINT AS full_bytes FROM (SELECT lower(part_hash) AS h, max(compressed_size) AS b, count(*) AS n FROM manifest_entries WHERE part_hash IS NOT NULL GROUP BY 1)")
 def part_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "manifest_entries").where("part_hash is not null").groupBy(F.lower("part_hash").alias("h")).agg(F.max("compressed_size").alias("b"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.count(F.lit(1)).alias("parts"), F.sum("b").alias("stored_bytes"), F.sum(F.col("n") * F.col("b")).alias("full_bytes"))
+    rows = table(spark, sf, "manifest_entries").where("part_hash is not null").select(F.lower("part_hash").alias("part_hash"), F.col("compressed_size").alias("size"))
+    return packages.dedupe_report(rows)
 
 
 @query("snapshot_rebuild", "SELECT doc_id, sha256(text) AS source_hash, len(string_split(text, chr(10))) AS parts FROM documents WHERE text IS NOT NULL")
 def snapshot_rebuild(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts stored as deduplicated parts and a manifest, put together again and verified by their hash."""
-    pieces = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "part")).withColumn("part_hash", F.sha2("part", 256))
-    parts = pieces.groupBy("part_hash").agg(F.first("part").alias("part"))
-    manifest = pieces.select("doc_id", "pos", "part_hash")
-    whole = manifest.join(parts, "part_hash").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("p"))
-    return whole.select("doc_id", F.sha2(F.array_join("p.part", "\n"), 256).alias("source_hash"), F.size("p").cast("bigint").alias("parts"))
+    """Texts stored as deduplicated parts, a line each, and a manifest; put together again and verified by their hash."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("package_hash"), F.split("text", "\n").alias("lines"))
+    pieces = docs.select(F.col("doc_id").cast("string").alias("object_path"), "package_hash", F.posexplode(F.transform("lines", lambda x, i: F.when(i < F.size("lines") - 1, F.concat(x, F.lit("\n"))).otherwise(x))).alias("pos", "line"))
+    slices = pieces.select("object_path", "package_hash", "pos", F.lit("").alias("name"), F.lit("line").alias("slice"), F.sha2("line", 256).alias("part_hash"), F.octet_length("line").cast("bigint").alias("size"), F.col("line").cast("binary").alias("part"))
+    manifest, parts = packages.snapshot_tables(slices)
+    whole = packages.implode_packages(manifest, parts)
+    counts = manifest.groupBy("object_path").agg(F.count(F.lit(1)).alias("parts"))
+    return whole.where("intact").select("object_path", F.sha2("content", 256).alias("source_hash")).join(counts, "object_path").select(F.col("object_path").cast("bigint").alias("doc_id"), "source_hash", "parts")
 
 
 @query("cache_hits", "SELECT count(*) AS hits FROM access_log l SEMI JOIN artifacts a ON l.object_path = a.object_path AND l.source_hash = a.source_hash")
@@ -521,17 +514,13 @@ def element_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "paragraphs").select("unit_id", ids.element_id("paragraph", F.col("idx"), F.col("text")).alias("element_id"))
 
 
-@query("number_formats", "WITH f(id, code) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in NUMBER_FORMATS.items()) + ") SELECT p_partkey, code AS number_format FROM part LEFT JOIN f ON f.id = p_size")
+@query("number_formats", "SELECT p_partkey, CASE p_size WHEN 1 THEN '0' WHEN 2 THEN '0.00' WHEN 3 THEN '#,##0' WHEN 4 THEN '#,##0.00' WHEN 5 THEN '$#,##0_);($#,##0)' WHEN 6 THEN '$#,##0_);[Red]($#,##0)' WHEN 7 THEN '$#,##0.00_);($#,##0.00)' WHEN 8 THEN '$#,##0.00_);[Red]($#,##0.00)' WHEN 9 THEN '0%' WHEN 10 THEN '0.00%' WHEN 11 THEN '0.00E+00' WHEN 12 THEN '# ?/?' WHEN 13 THEN '# ??/??' WHEN 14 THEN 'mm-dd-yy' WHEN 15 THEN 'd-mmm-yy' WHEN 16 THEN 'd-mmm' WHEN 17 THEN 'mmm-yy' WHEN 18 THEN 'h:mm AM/PM' WHEN 19 THEN 'h:mm:ss AM/PM' WHEN 20 THEN 'h:mm' WHEN 21 THEN 'h:mm:ss' WHEN 22 THEN 'm/d/yy h:mm' WHEN 37 THEN '#,##0;(#,##0)' WHEN 38 THEN '#,##0;[Red](#,##0)' WHEN 39 THEN '#,##0.00;(#,##0.00)' WHEN 40 THEN '#,##0.00;[Red](#,##0.00)' WHEN 45 THEN 'mm:ss' WHEN 46 THEN '[h]:mm:ss' WHEN 47 THEN 'mmss.0' WHEN 48 THEN '##0.0E+0' WHEN 49 THEN '@' END AS number_format FROM part")
 def number_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """Style numbers as format codes; the general format, and numbers that mean nothing, are null. The lookup is a constant."""
-    codes = F.create_map(*[F.lit(x) for kv in NUMBER_FORMATS.items() for x in kv])
-    return table(spark, sf, "part").select("p_partkey", F.try_element_at(codes, F.col("p_size")).alias("number_format"))
+    """Style numbers as format codes; the general format, and numbers that mean nothing, are null."""
+    return table(spark, sf, "part").select("p_partkey", number_format(F.col("p_size")).alias("number_format"))
 
 
-@query("access_windows", "SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(timestamp_unix_ms)) AS day, operation, count(*) AS accesses, coalesce(sum(estimated_tokens), 0)::BIGINT AS tokens FROM access_log GROUP BY ALL")
+@query("access_windows", "SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(timestamp_unix_ms)) AS window_start, object_path, count(*) AS accesses, count(*) FILTER (WHERE model_cache_hit) AS model_hits, count(*) FILTER (WHERE view_cache_hit) AS view_hits, coalesce(sum(estimated_tokens), 0)::BIGINT AS tokens_served FROM access_log GROUP BY ALL")
 def access_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The roll-up that the stream makes, over the whole log at once."""
-    day = F.window(F.timestamp_millis("timestamp_unix_ms"), "1 day").getField("start")
-    return table(spark, sf, "access_log").groupBy(day.alias("day"), "operation").agg(F.count(F.lit(1)).alias("accesses"), F.coalesce(F.sum(F.col("estimated_tokens").cast("bigint")), F.lit(0)).alias("tokens"))
-
-
+    return access.windowed_rollup(table(spark, sf, "access_log"), "1 day")

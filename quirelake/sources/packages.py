@@ -197,8 +197,14 @@ def snapshot_tables(slices: DataFrame, known: DataFrame | None = None) -> tuple[
     return manifest, parts if known is None else parts.join(known.select("part_hash"), "part_hash", "left_anti")
 
 
+def dedupe_report(parts: DataFrame) -> DataFrame:
+    """One row (parts, stored_bytes, full_bytes) over (part_hash, size): what is stored once, and what all copies would take."""
+    once = parts.groupBy("part_hash").agg(F.max("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    return once.agg(F.count(F.lit(1)).alias("parts"), F.sum("b").alias("stored_bytes"), F.sum(F.col("n") * F.col("b")).alias("full_bytes"))
+
+
 def implode_packages(manifest: DataFrame, parts: DataFrame) -> DataFrame:
     """(object_path, package_hash, content, intact): packages put together from stored parts and verified by their hash."""
     whole = manifest.join(parts, "part_hash").groupBy("object_path", "package_hash").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("part").alias("part")))).alias("p"))
-    content = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["part"]))
+    content = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["part"])), ""))
     return whole.select("object_path", "package_hash", content.alias("content")).withColumn("intact", F.sha2("content", 256) == F.col("package_hash"))
