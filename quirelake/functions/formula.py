@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -55,6 +56,10 @@ class Name:
     name: str
 
 
+#: Texts that a task keeps what it found in; then it starts again.
+MEMO_TEXTS = 20_000
+
+
 def column_index(letters: str) -> int:
     n = 0
     for ch in letters.upper():
@@ -121,10 +126,6 @@ def references(formula: str | None) -> list[dict]:
 REFERENCE_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n[1:].isdigit() else T.StringType()) for n in ("kind", "sheet", "r1", "c1", "r2", "c2", "name")]))
 
 
-#: Texts that a task keeps what it found in; then it starts again.
-MEMO_TEXTS = 20_000
-
-
 class _Memo(dict):
     """What a function gives for a text; the same formulas stand in many cells."""
 
@@ -183,6 +184,7 @@ def same_sheet(a: str | None, b: str | None) -> bool:
     return (a or "").casefold() == (b or "").casefold()
 
 
+@lru_cache(MEMO_TEXTS)
 def shift_formula(formula: str, own_sheet: str, edited_sheet: str, axis: str, at: int, count: int, insert: bool) -> str:
     """References to the edited sheet after rows or columns came in or went: dollar signs stay, what is gone is #REF!."""
 
@@ -222,6 +224,7 @@ def quote_sheet(name: str) -> str:
     return name if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", name) and not _CELL.match(name) else "'" + name.replace("'", "''") + "'"
 
 
+@lru_cache(MEMO_TEXTS)
 def rename_sheet(formula: str, old: str, new: str) -> str:
     def move(x: Reference) -> str | None:
         if x.sheet is None or not same_sheet(x.sheet, old):
@@ -231,6 +234,7 @@ def rename_sheet(formula: str, old: str, new: str) -> str:
     return rewrite(formula, move)
 
 
+@lru_cache(MEMO_TEXTS)
 def drop_sheet(formula: str, gone: str) -> str:
     return rewrite(formula, lambda x: "#REF!" if x.sheet is not None and same_sheet(x.sheet, gone) else None)
 
@@ -245,7 +249,6 @@ def shift_sqref(sqref: str, axis: str, at: int, count: int, insert: bool) -> str
 def shift_formula_column(formula: Column, own_sheet: Column, edited_sheet: str, axis: str, at: int, count: int, insert: bool) -> Column:
     @F.pandas_udf(T.StringType())
     def run(formulas: pd.Series, sheets: pd.Series) -> pd.Series:
-        memo = _Memo(lambda pair: shift_formula(*pair, edited_sheet, axis, at, count, insert))
-        return pd.Series([None if f is None else memo[f, s] for f, s in zip(formulas, sheets)], dtype=object)
+        return pd.Series([None if f is None else shift_formula(f, s, edited_sheet, axis, at, count, insert) for f, s in zip(formulas, sheets)], dtype=object)
 
     return run(formula, own_sheet)

@@ -177,9 +177,15 @@ class Workspace:
     # ---- questions
 
     def status(self) -> DataFrame:
-        """(path, state) of all tracked objects: missing, fresh_fast_path, fresh_after_hash, stale."""
-        listing = self._listing().select(F.col("object_path").alias("path"), "size", "modified_ns", "source_hash")
-        return status.freshness(self.objects().withColumnRenamed("object_path", "path"), listing).select("path", "format_id", "state")
+        """(path, state) of all tracked objects: missing, fresh_fast_path, fresh_after_hash, stale.
+
+        Files are listed; only those whose size or time differ from what is known are opened.
+        """
+        known = self.objects().withColumnRenamed("object_path", "path")
+        seen = self._listing().select(F.col("object_path").alias("path"), "size", "modified_ns")
+        touched = seen.join(known.select("path", F.col("size").alias("k_size"), F.col("modified_ns").alias("k_ns")), "path").where("size <> k_size or modified_ns <> k_ns")
+        listing = seen.join(files.hashes(touched, self.folder), "path", "left")
+        return status.freshness(known, listing).select("path", "format_id", "state")
 
     def inspect(self, path: str) -> dict:
         """What a file holds, in numbers, with reads that suggest themselves."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import a1, ids
 from quirelake.functions import text as tx
 from quirelake.functions.formats import number_format
+from quirelake.functions.recipes import recipe_key
 from quirelake.operators import dependencies, grid, reads, search, status, versions
 from quirelake.session import table
 from quirelake.sources import packages
@@ -520,6 +521,18 @@ def number_formats(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", number_format(F.col("p_size")).alias("number_format"))
 
 
+@query(
+    "derivation_keys",
+    """WITH a AS (SELECT DISTINCT artifact_id, coalesce(source_hash, '') AS s, lower(coalesce(format_id, '')) AS f, coalesce(schema_id, '') AS p, coalesce(CAST(schema_version AS VARCHAR), '') AS v FROM artifacts)
+SELECT artifact_id, sha256('{"source_hash":"' || s || '","processor_id":"' || p || '","processor_version":"' || v || '","config_hash":"","input_hashes":["' || f || '","' || s || '"]}') AS recipe_key FROM a""",
+)
+def derivation_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The key that each artifact's model is cached under."""
+    rows = table(spark, sf, "artifacts").select("artifact_id", "source_hash", F.lower(F.coalesce("format_id", F.lit(""))).alias("f"), "schema_id", "schema_version")
+    key = recipe_key(F.col("source_hash"), F.col("schema_id"), F.col("schema_version").cast("string"), F.lit(None).cast("string"), F.array("f", "source_hash"))
+    return rows.select("artifact_id", key.alias("recipe_key")).distinct()
+
+
 @query("access_windows", "SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(timestamp_unix_ms)) AS window_start, object_path, count(*) AS accesses, count(*) FILTER (WHERE model_cache_hit) AS model_hits, count(*) FILTER (WHERE view_cache_hit) AS view_hits, coalesce(sum(estimated_tokens), 0)::BIGINT AS tokens_served FROM access_log GROUP BY ALL")
 def access_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The roll-up that the stream makes, over the whole log at once."""

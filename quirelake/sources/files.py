@@ -7,6 +7,7 @@ one of them typed. Bytes are read by Spark's binary file source, in parallel, on
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,9 +52,30 @@ def parse_file(fmt: str, blob: bytes) -> dict[str, list[dict]]:
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(object_path, size, modified_ns, source_hash, content) of all files below a folder; paths are relative to it."""
-    root = folder.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_replace("path", "^.*?" + root.replace(".", r"\."), "").alias("object_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), F.sha2("content", 256).alias("source_hash"), "content")
+    return as_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), folder)
+
+
+def as_files(found: DataFrame, folder: str) -> DataFrame:
+    """What the binary file source gives, with paths relative to the folder; content is read only if it or the hash is asked for."""
+    root = re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/"  # schemes are written with one slash or three
+    return found.select(F.regexp_replace("path", "^.*?" + re.escape(root), "").alias("object_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), F.sha2("content", 256).alias("source_hash"), "content")
+
+
+def hashes(paths: DataFrame, folder: str) -> DataFrame:
+    """(path, source_hash) of some files below a folder that all workers see, given by (path); others are not opened."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import os
+
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                with open(os.path.join(folder, path), "rb") as file:
+                    out.append(hashlib.file_digest(file, "sha256").hexdigest())
+            yield frame.assign(source_hash=out)
+
+    return paths.select("path").mapInPandas(run, "path string, source_hash string")
 
 
 def with_format(files: DataFrame) -> DataFrame:

@@ -248,6 +248,12 @@ def content_text(data: bytes) -> str:
     return "\n".join(line for line in lines if line.strip())
 
 
+def literal_text(data: bytes) -> str:
+    """The strings of a content stream that shows none of them by an operator, in order and with a blank between."""
+    found = (_shown(t).strip() for t, _ in tokens(data) if isinstance(t, bytes))
+    return " ".join(t for t in found if t)
+
+
 #: Bits of the field flags, counted from one.
 FLAGS = {"read_only": 1, "required": 2, "no_export": 3, "multiline": 13, "password": 14, "combo": 18, "edit": 19, "do_not_spell_check": 23, "do_not_scroll": 24, "comb": 25, "rich_text": 26, "multi_select": 22}
 
@@ -296,7 +302,8 @@ def parse_pdf(blob: bytes) -> dict[str, list[dict]]:
         parts = pdf.get(contents)
         refs = parts if isinstance(parts, list) else [contents]
         rotate = pdf.get(page.get("Rotate")) or 0
-        out["pages"].append({"element_id": element_id_of("page", i + 1), "number": i + 1, "text": content_text(b"\n".join(pdf.stream(r) for r in refs)), "rotate": int(rotate) % 360 or None})
+        data = b"\n".join(pdf.stream(r) for r in refs)
+        out["pages"].append({"element_id": element_id_of("page", i + 1), "number": i + 1, "text": content_text(data) or literal_text(data), "rotate": int(rotate) % 360 or None})
         for k, a in enumerate(pdf.get(page.get("Annots")) or []):
             note = pdf.get(a)
             subtype = str(note.get("Subtype")) if isinstance(note, dict) else ""

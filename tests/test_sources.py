@@ -163,3 +163,16 @@ def test_outline_is_whole():
     items = "".join(f"{20 + i} 0 obj\n<< /Title (t{i}) /Next {20 + (i + 1) % n} 0 R >>\nendobj\n" for i in range(n))
     blob = form("/Outlines << /First 20 0 R >>").replace(b"trailer", items.encode() + b"trailer")
     assert pdf.parse_pdf(blob)["pdf_documents"][0]["outline"] == [f"t{i}" for i in range(n)]
+
+
+def test_pdf_strings_without_an_operator():
+    assert pdf.parse_pdf(form(stream=b"(loose) <414243> ( ) Xx"))["pages"][0]["text"] == "loose ABC"
+
+
+def test_recipe_keys(spark):
+    from quirelake.functions.recipes import recipe_key
+
+    rows = [("s", "p", "1", "c", ["m"]), ("s", "p", "2", "c", ["m"]), ("s", "p", "1", "c", ["m", "n"]), ("s", "p", "1", "c", ["n", "m"]), ("x", "p", "1", "c", ["m"]), ("s", "q", "1", "c", ["m"]), ("s", "p", "1", "d", ["m"]), (None, None, None, None, None), ("s", "p", "1", "c", ["m"])]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e array<string>")
+    keys = [r.k for r in df.select(recipe_key(*[df[c] for c in "abcde"]).alias("k")).collect()]
+    assert keys[0] == keys[-1] and len(set(keys)) == len(rows) - 1 and all(len(k) == 64 for k in keys)

@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from quirelake.operators import snapshots, status
-from quirelake.streaming import access
+from quirelake.sources import files
+from quirelake.streaming import access, arrivals
 
 
 def drain(query):
@@ -51,3 +52,28 @@ def test_version_stream(spark, tmp_path):
     drain(access.version_stream(stream).writeStream.outputMode("append").format("memory").queryName("versions").start())
     got = {(r.object_path, r.version) for r in spark.table("versions").collect()}
     assert got == {("o", 1), ("o", 2), ("o", 3), ("o", 4), ("p0", 1), ("p1", 1)}
+
+
+def test_file_arrivals(spark, tmp_path):
+    from test_sources import deck, document
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.docx").write_bytes(document())
+    (tmp_path / "in/note.txt").write_text("no document")
+    store, batches = str(tmp_path / "objects"), []
+    spark.createDataFrame([], "object_path string, source_hash string").write.parquet(store)
+
+    def sink(objects, entities, number):
+        objects.select("object_path", "source_hash").write.mode("append").parquet(store)
+        batches.append(sorted({(r.object_path, r.entity) for r in entities.collect()}))
+
+    def run():
+        query = arrivals.parsed_arrivals(arrivals.file_stream(spark, "file://" + str(tmp_path / "in")), lambda: spark.read.parquet(store), sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    (tmp_path / "in/sub/b.pptx").write_bytes(deck())
+    run()
+    assert {p for b in batches for p, _ in b} == {"a.docx", "sub/b.pptx"} and len(batches) == 2
+    assert {p for p, _ in batches[1]} == {"sub/b.pptx"}
+    assert files.hashes(spark.createDataFrame([("a.docx",)], "path string"), str(tmp_path / "in")).first().source_hash == spark.read.parquet(store).where("object_path = 'a.docx'").first().source_hash
