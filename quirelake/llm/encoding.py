@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelake.session import durable
+from quirelake.session import discard, durable
 
 #: Chunks are about this many code points long, at least a quarter of it.
 CHUNK_CHARS = 512
@@ -201,7 +201,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
                 else:
                     rows.append(i)
                     pos.append(None)
-                    ids.append([x for u in us for x in own.encode_ordinary(u)])
+                    ids.append(own.encode_ordinary("".join(us)))  # no piece is shared: as one, the same
                     digest.append(None)
                     unit.append(None)
                 start += n
@@ -211,7 +211,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, pattern)
         for batch in batches:
-            ids = [own.encode_ordinary(u.as_py()) for u in batch.column(1)]
+            ids = [own.encode_ordinary(u) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["digest", "ids"])
 
     rows = df.select(key, F.monotonically_increasing_id().alias("row"), text)
@@ -221,6 +221,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     cuts = durable(full.mapInArrow(cut, cut_schema), "units")
     sent = spark.sparkContext.broadcast(repeated_filter(cuts, "digests", filter_bits))
     placed = durable(cuts.mapInArrow(place, out_schema), "placed")
+    discard(cuts)  # what follows reads the pieces placed, and those alone
     whole = placed.where("pos is null").select(key, "ids")
     shared = placed.where("digest is not null")
     # equal digests are equal units; one of each is encoded
