@@ -64,14 +64,14 @@ def letters_and_digits(text: str) -> str:
 class Finder:
     """The fitted model with the exact checks; made on the driver, sent to the tasks."""
 
-    def __init__(self, given: list[str], family: list[str], rows: int = LABELLED_ROWS, steps: int = 120) -> None:
+    def __init__(self, given: list[str], family: list[str], rows: int = LABELLED_ROWS, steps: int = 120, held: int | None = None) -> None:
         words = lambda parts: frozenset(w.casefold() for p in parts for w in re.findall(_LETTER + "+(?:['’]" + _LETTER + "+)*", p))
         self.given, self.family = words(given) - _PARTICLES, words(family) - _PARTICLES
         several = [f.casefold().split(" ") for f in family if " " in f]
         self.led = [(" ".join(f[:k]), f[k]) for f in several for k in range(1, len(f))]
         lexicon = {"given": self.given, "family": self.family, "street": STREET_WORDS, "title": TITLE_WORDS, "dial": DIAL_WORDS, "id": ID_WORDS, "number": OTHER_NUMBER_WORDS}
         texts = []
-        for text, spans in labelled_rows(given, family, rows):
+        for text, spans in labelled_rows(given, family, rows, held=held):
             keys, starts, ends = tokenize(text)
             if keys:
                 texts.append((keys, self._numbers(starts, ends, spans)))
@@ -116,6 +116,11 @@ class Finder:
             out.append([tuple(s) for s in spans])
         return out
 
+    def proposed(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """The model's spans without the checks, but for blanks and punctuation at their ends."""
+        trim = lambda t, a, b: (a + len(t[a:b]) - len(t[a:b].lstrip(" \t\r\n.,;:|<>()")), a + len(t[a:b].rstrip(" \t\r\n,;:|<>(")))
+        return [[(*trim(t, a, b), kind) for a, b, kind in spans] for t, spans in zip(texts, self.propose(texts))]
+
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """The checked spans of each text, in order and apart from each other."""
         out = []

@@ -92,9 +92,22 @@ OTHER_NUMBER_WORDS = frozenset("part purchase order lot serial batch invoice tic
 SUFFIXES = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ring")
 
 
+def _part(items: list[str], held: int | None, alone: bool) -> list[str]:
+    """All items; or, of the distinct ones, all but each third from ``held`` on, or these alone."""
+    if held is None:
+        return items
+    kept = {x for k, x in enumerate(dict.fromkeys(items)) if (k % 3 == held) == alone}
+    return [x for x in items if x in kept]
+
+
 class Maker:
-    def __init__(self, given: list[str], family: list[str], seed: int) -> None:
+    """Fills patterns. ``held`` leaves out a third of the sentence patterns, places, products and streets, or, ``alone``, takes only these."""
+
+    def __init__(self, given: list[str], family: list[str], seed: int, held: int | None = None, alone: bool = False) -> None:
         self.rng = random.Random(seed)
+        self.cases, self.outside = _part(CASES, held, alone), _part(OUTSIDE, held, alone)
+        self.values = {k: _part(v, held, alone) if k in ("place", "product", "team") else v for k, v in FILL.items()}
+        self.streets = {k: _part(v, held, alone) for k, v in STREETS.items()}
         self.given_parts, self.family_parts = given or ["Ada"], family or ["Lovel"]
 
     def _invented(self, low: int, high: int) -> str:
@@ -160,7 +173,7 @@ class Maker:
     def addr(self) -> str:
         r = self.rng
         lang = r.choice(["en", "en", "en", "fr", "de", "es"])
-        street = r.choice(STREETS[lang])
+        street = r.choice(self.streets[lang])
         if r.random() < 0.35:
             new = self._invented(1, 2)
             street = {"en": f"{new} {r.choice(['Street', 'Road', 'Avenue', 'Lane', 'Close', 'Dr.', 'Blvd', 'Row'])}", "fr": f"{r.choice(['rue', 'avenue', 'place', 'chemin'])} {r.choice(['de', 'du', 'des'])} {new}", "de": f"{new}{r.choice(['straße', 'weg', 'gasse', 'platz', 'str.'])}", "es": f"{r.choice(['Calle', 'Plaza', 'Avenida', 'C/'])} {r.choice(['del', 'de la', 'de los'])} {new}"}[lang]
@@ -191,7 +204,7 @@ class Maker:
             return r.choice(self.family_parts)
         if slot[0] == "n" and slot[1:].isdigit():
             return self._digits("9" * int(slot[1:]))
-        return r.choice(FILL[slot])
+        return r.choice(self.values[slot])
 
     def fill(self, pattern: str) -> tuple[str, list[tuple[int, int, str]]]:
         out, spans, size = [], [], 0
@@ -214,9 +227,9 @@ class Maker:
         r = self.rng
         if r.random() < 0.08:  # a table
             row = "| {place} | {metric} | {num} | "
-            return self.fill("| Site | Metric | Amount | Note |\n| --- | --- | --- | --- |\n" + "\n".join(row + r.choice(["{adj} |", " |", "{adj} |", r.choice(OUTSIDE).split("\n")[0] + " |"]) for _ in range(r.randint(1, 4))))
+            return self.fill("| Site | Metric | Amount | Note |\n| --- | --- | --- | --- |\n" + "\n".join(row + r.choice(["{adj} |", " |", "{adj} |", r.choice(self.outside).split("\n")[0] + " |"]) for _ in range(r.randint(1, 4))))
         inside = r.random() < 0.55
-        pattern = r.choice(CASES) if inside else r.choice(OUTSIDE)
+        pattern = r.choice(self.cases) if inside else r.choice(self.outside)
         if r.random() < 0.25:
             pattern = r.choice(["- ", "- ", "| ", "| {place} | {metric} | {num} | ", "[{n2}:{n2}] owner: ", "[{n2}:{n2}] analyst: ", "Slide {n1}: {product} ", "Slide {n1}: {product}\n", "Unit: ", "Unit: {month} ", "Period: {num} ", "Comment: ", "Site: {place} ", "Quota: ", "{product} ", "✅ ", "表 "]) + pattern
         if r.random() < 0.08:
@@ -246,7 +259,7 @@ class Maker:
         return text, spans
 
 
-def labelled_rows(given: list[str], family: list[str], rows: int = 4000, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    maker = Maker(given, family, seed)
-    once = [maker.fill(p) for p in CASES + OUTSIDE]
+def labelled_rows(given: list[str], family: list[str], rows: int = 4000, seed: int = 7, held: int | None = None, alone: bool = False) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    maker = Maker(given, family, seed, held, alone)
+    once = [maker.fill(p) for p in maker.cases + maker.outside]
     return once + [maker.row() for _ in range(max(0, rows - len(once)))]
