@@ -116,8 +116,8 @@ def _as_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
-def repeated_filter(places: DataFrame, digests: str, n_bits: int = FILTER_BITS) -> np.ndarray:
-    """Packed bits of the digests (an array column) that occur more than once: ORed in the tasks, of fixed size."""
+def repeated_filter(places: DataFrame, digests: str, n_bits: int = FILTER_BITS, at_least: int = 2) -> np.ndarray:
+    """Packed bits of the digests (an array column) that occur so often: ORed in the tasks, of fixed size."""
     page = 1 << 19  # bits of one row of the filter
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def repeated_filter(places: DataFrame, digests: str, n_bits: int = FILTER_BITS)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["page", "bits"])
 
-    repeated = places.select(F.explode(digests).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    repeated = places.select(F.explode(digests).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).select("digest")
     out = np.zeros(n_bits // 8, np.uint8)
     parts = repeated.mapInArrow(pages, "page int, bits binary").repartition(max(1, n_bits // page // 16), "page").mapInArrow(_or_pages, "page int, bits binary")
     for row in parts.collect():  # n_bits, no more

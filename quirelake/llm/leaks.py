@@ -7,8 +7,9 @@ behind the placeholders are compared: all equal is a passage that leaked as it i
 passage; a consistent one-to-one replacement along a passage of ``REPARAMETERISED_WORDS`` words or more, of which each
 window holds ``LITERAL_WORDS`` words that are no placeholders, is a re-parameterised item. Each passage is judged by itself.
 
-The items are the stated query set: they go to every task in blocks of at most ``BLOCK_WORDS`` words, so what is sent
-has a fixed bound; every row of the corpus is compared with all blocks, and the corpus is never shuffled.
+The items are the stated query set. Up to ``BLOCK_WORDS`` words of them go to every task, and the corpus is read once and
+never shuffled. More of them stay where they are: a filter of fixed size over the hashes of their windows goes to every
+task instead, and the windows of the corpus that it holds are joined with theirs on the hash; the result is the same.
 
 Defined cases: null texts and items match nothing; items under twelve words match nothing; an item matches a document
 once however often it occurs; repeated items each match; extra columns are ignored; ids may be of any type, and null.
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
+from quirelake.llm.encoding import FILTER_BITS, repeated_filter
 from quirelake.llm.looks import look_form
 
 WINDOW = 12
@@ -166,31 +168,46 @@ class Matcher:
             yield t, k, kind, n, first
 
     def _passages(self, item: list[str], flat: list[str], shift: int, positions: list[int]) -> Iterator[tuple[str, list[int]]]:
-        """Compare what stands behind the placeholders, by passages: windows on one line that follow each other."""
-        passage: list[int] = []
-        for p in [*positions, -WINDOW]:
-            if passage and p != passage[-1] + 1:
-                same = [q for q in passage if item[q : q + WINDOW] == flat[shift + q : shift + q + WINDOW]]
-                if same:
-                    yield "verbatim", same
-                elif self._consistent(item, flat, shift, passage):
-                    yield "re-parameterised", passage
-                passage = []
-            passage.append(p)
-
-    def _consistent(self, item: list[str], flat: list[str], shift: int, passage: list[int]) -> bool:
-        if len(passage) + WINDOW - 1 < REPARAMETERISED_WORDS:
+        for p, n in _runs(positions):
+            words = n + WINDOW - 1
+            for kind, at in judged(item[p : p + words], flat[shift + p : shift + p + words], self.names):
+                yield kind, [p + k for k in at]
+
+
+def _runs(positions: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, how many) of positions that follow each other; a passage is made of such windows."""
+    first, n = None, 0
+    for p in positions:
+        if first is not None and p == first + n:
+            n += 1
+        elif first is None or p != first + n - 1:
+            if n:
+                yield first, n
+            first, n = p, 1
+    if n:
+        yield first, n
+
+
+def judged(item: list[str], text: list[str], names: frozenset[str]) -> Iterator[tuple[str, list[int]]]:
+    """(kind, windows) of a passage, by what stands behind its placeholders in the item and in the text; nothing if they disagree."""
+    windows = range(len(item) - WINDOW + 1)
+    same = [q for q in windows if item[q : q + WINDOW] == text[q : q + WINDOW]]
+    if same:
+        yield "verbatim", same
+    elif len(item) >= REPARAMETERISED_WORDS and _consistent(item, text, names):
+        yield "re-parameterised", list(windows)
+
+
+def _consistent(item: list[str], text: list[str], names: frozenset[str]) -> bool:
+    there: dict[tuple[str, str], str] = {}
+    back: dict[tuple[str, str], str] = {}
+    literal = []
+    for a, b in zip(item, text):
+        kind = template_of(a, names)
+        literal.append(kind == a)
+        if kind != template_of(b, names) or there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
             return False
-        there: dict[tuple[str, str], str] = {}
-        back: dict[tuple[str, str], str] = {}
-        literal = []
-        for p in range(passage[0], passage[-1] + WINDOW):
-            a, b = item[p], flat[shift + p]
-            kind = template_of(a, self.names)
-            literal.append(kind == a)
-            if kind != template_of(b, self.names) or there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                return False
-        return all(sum(literal[i : i + WINDOW]) >= LITERAL_WORDS for i in range(len(passage)))
+    return all(sum(literal[i : i + WINDOW]) >= LITERAL_WORDS for i in range(len(item) - WINDOW + 1))
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, lang: str, parts: DataFrame, part: str, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -202,25 +219,95 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         words = tuple(words_of(item))
         if len(words) >= WINDOW:
             alike.setdefault(words, []).append(key)
-    blocks: list[list[tuple[list, list[str]]]] = [[]]
-    size = 0
-    for words, keys in alike.items():
-        if size and size + len(words) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((keys, list(words)))
-        size += len(words)
     kinds = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("leak_kind", T.StringType()),
         T.StructField("windows", T.IntegerType()), T.StructField("first_word", T.IntegerType()),
     ])
     context = docs.sparkSession.sparkContext
-    out = None
-    for block in blocks:
-        sent = context.broadcast((block, names))
-        part_rows = docs.where(F.col(text) != "").select(doc_id, text).mapInArrow(_searcher(sent, kinds), kinds)
-        out = part_rows if out is None else out.unionByName(part_rows)
-    return out
+    if sum(map(len, alike)) > block_words:
+        return _joined(docs.where(F.col(text) != "").select(doc_id, text), items.where(F.col(item_text) != "").select(item_id, item_text), context.broadcast(names), kinds)
+    sent = context.broadcast(([(keys, list(words)) for words, keys in alike.items()], names))
+    return docs.where(F.col(text) != "").select(doc_id, text).mapInArrow(_searcher(sent, kinds), kinds)
+
+
+def _hashed(words: list[str], names: frozenset[str]) -> np.ndarray:
+    return _rolled(np.array([xxh64_intdigest(template_of(w, names)) for w in words], np.uint64))
+
+
+def _joined(docs: DataFrame, items: DataFrame, names, kinds: T.StructType) -> DataFrame:
+    """The same as the search in blocks, by a join of windows on their hash; pairs of document and item are judged where they meet."""
+    item_kind, doc_kind = items.schema[0].dataType, docs.schema[0].dataType
+    items = items.select(F.monotonically_increasing_id().alias("item"), F.col(items.columns[0]).alias("item_id"), F.col(items.columns[1]).alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(docs.columns[0]).alias("doc_id"), F.col(docs.columns[1]).alias("text"))
+    digest_schema = T.StructType([T.StructField("digests", T.ArrayType(T.BinaryType()))])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[int(h).to_bytes(8, "little") * 2 for h in _hashed(words_of(t), names.value)] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], names=["digests"])
+
+    held = docs.sparkSession.sparkContext.broadcast(repeated_filter(items.select("text").mapInArrow(digests, digest_schema), "digests", FILTER_BITS, 1))
+
+    def windows(filtered: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, code, at, said = [], [], [], []
+                for i, t in enumerate(batch.column(2)):
+                    words = words_of(t.as_py())
+                    hashes = _hashed(words, names.value)
+                    places = np.arange(len(hashes))
+                    if filtered and len(hashes):
+                        bit = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                        places = np.flatnonzero(held.value[bit >> 3] >> (bit & 7) & 1)
+                    for p in places.tolist():
+                        row.append(i)
+                        code.append(int(hashes[p].astype(np.int64)))
+                        at.append(p)
+                        said.append(" ".join(words[p : p + WINDOW]))
+                if row:
+                    take = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(code, pa.int64()), pa.array(at, pa.int32()), pa.array(said, pa.string())], names=["row", "key", "hash", "at", "said"])
+
+        return run
+
+    schema = lambda kind: T.StructType([T.StructField("row", T.LongType()), T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("said", T.StringType())])
+    theirs = items.mapInArrow(windows(False), schema(item_kind)).select(F.col("row").alias("item"), F.col("key").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("said").alias("item_said"))
+    ours = docs.mapInArrow(windows(True), schema(doc_kind)).select(F.col("row").alias("doc"), F.col("key").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("said").alias("doc_said"))
+    met = ours.join(theirs, "hash").groupBy("doc", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.sort_array(F.collect_list(F.struct((F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "item_said", "doc_said"))).alias("found"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                best = _best(found, names.value)
+                if best:
+                    row.append(i)
+                    out.append(best)
+            if row:
+                take = pa.array(row, pa.int64())
+                kind, n, first = zip(*out)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind, pa.string()), pa.array(n, pa.int32()), pa.array(first, pa.int32())], names=kinds.names)
+
+    return met.select("doc_id", "item_id", "found").mapInArrow(judge, kinds)
+
+
+def _best(found: list[dict], names: frozenset[str]) -> tuple[str, int, int] | None:
+    """(kind, windows, first word) of one document and item, from their common windows by line and place."""
+    lines: dict[int, dict[int, tuple[str, str]]] = defaultdict(dict)
+    for x in found:
+        lines[x["shift"]][x["item_at"]] = (x["item_said"], x["doc_said"])
+    best: list | None = None
+    for shift, at in lines.items():
+        for p, n in _runs(sorted(at)):
+            passage = [[w for k in range(p, p + n - 1) for w in at[k][side].split(" ")[:1]] + at[p + n - 1][side].split(" ") for side in (0, 1)]
+            for kind, hits in judged(*passage, names):
+                first = shift + p + hits[0]
+                if best is None or kind == "verbatim" and best[0] != kind:
+                    best = [kind, 0, first]
+                if kind == best[0]:
+                    best[1] += len(hits)
+                    best[2] = min(best[2], first)
+    return tuple(best) if best else None
 
 
 def _searcher(sent, kinds: T.StructType):

@@ -51,14 +51,19 @@ def test_against_brute_force(spark):
     assert got
 
 
-def test_blocks_give_the_same(spark):
-    items = [(i, "en", ITEM + f" number {i}") for i in range(5)]
-    d = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+def test_join_of_windows_gives_the_same(spark):
+    """More items than are sent to every task: joined on the hashes of windows."""
+    rng = random.Random(3)
+    patterns = [" ".join(rng.sample(_sentences(rng), 3)) for _ in range(12)]
+    items = [(k, "en", _filled(rng, p)) for k, p in enumerate(patterns)] + [(50, "en", ITEM), (51, "en", ITEM), (52, "en", None), (53, "en", "short")]
+    docs = [(d, " ".join(rng.choice([_filled(rng, s) for s in _sentences(rng)] + [items[rng.randrange(12)][2], _again(rng, items[rng.randrange(12)][2]), ITEM]) for _ in range(4)), None) for d in range(80)]
+    docs += [(100, None, None), (101, "", None), (102, ITEM + " " + ITEM, None), (None, ITEM, None)]
+    parts = spark.createDataFrame([(n,) for n in "Bexford Dunmarsh Quillbay Hollowford Ostravale".split()], "name_part string")
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     i = spark.createDataFrame(items, "item_id long, lang string, item_text string")
-    p = spark.createDataFrame([("a",)], "name_part string")
-    one = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", p, "name_part").collect()
-    many = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", p, "name_part", block_words=30).collect()
-    assert sorted(one) == sorted(many) and len(one) == 5
+    one = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", parts, "name_part").collect()
+    many = leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", "lang", parts, "name_part", block_words=30).collect()
+    assert {r.leak_kind for r in one} == {"verbatim", "re-parameterised"} and sorted(one, key=str) == sorted(many, key=str)
 
 
 def test_windows_of_placeholders_alone_are_no_leak(spark):
