@@ -26,6 +26,11 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
 
 
+def _sql_id(kind: str, *columns: str) -> str:
+    parts = " || ".join(f"'/' || octet_length(encode({c})) || ':' || {c}" for c in columns)
+    return f"'{ids.PREFIXES[kind]}_' || left(sha256('{kind}/{ids.SCHEMA_VERSION}' || {parts}), 24)"
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -104,7 +109,15 @@ def budget_first_slice(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", tx.first_slice_chars(F.col("text"), 100).cast("bigint").alias("chars"), (F.char_length("text") > 400).alias("truncated"))
 
 
-@query("budget_pages")
+_PAGE = "CASE WHEN length({t}) - {a} <= 400 THEN length({t}) WHEN contains(substring({t}, {a} + 1, 400), chr(10)) AND octet_length(encode(regexp_extract(substring({t}, {a} + 1, 400), '(?s)^(.*)\\n', 1))) > 200 THEN {a} + length(regexp_extract(substring({t}, {a} + 1, 400), '(?s)^(.*)\\n', 1)) + 1 ELSE {a} + 400 END"
+
+
+@query(
+    "budget_pages",
+    f"""WITH RECURSIVE p AS (SELECT doc_id, text, 0 AS page_no, 0 AS start_at, {_PAGE.format(t="text", a="0")} AS end_at FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, text, page_no + 1, end_at, {_PAGE.format(t="text", a="end_at")} FROM p WHERE end_at < length(text))
+SELECT doc_id, CAST(page_no AS INT) AS page_no, CAST(start_at AS INT) AS start_at, CAST(end_at AS INT) AS end_at, CASE WHEN end_at < length(text) THEN CAST(octet_length(encode(left(text, end_at))) AS INT) END AS cursor FROM p""",
+)
 def budget_pages(spark: SparkSession, sf: str) -> DataFrame:
     """All answers a text is read in under a budget, with the cursor in bytes that the next one starts at."""
     schema = "array<struct<start_at: int, end_at: int, cursor: int>>"
@@ -217,12 +230,20 @@ def range_lines(spark: SparkSession, sf: str) -> DataFrame:
     return grid.range_lines(_order_cells(spark, sf))
 
 
-@query("range_markdown")
+_LINE = "'| ' || CAST(a AS VARCHAR) || ' | ' || CASE WHEN b = floor(b) THEN CAST(CAST(b AS BIGINT) AS VARCHAR) ELSE CAST(b AS VARCHAR) END || ' | ' || d || ' |'"
+
+
+@query("range_markdown", f"WITH {_ORDER_CELLS}, l AS (SELECT object_path, sheet, \"row\", row_number() OVER (PARTITION BY object_path ORDER BY \"row\") AS n, {_LINE} AS line FROM o WHERE \"row\" BETWEEN 1 AND 60) SELECT object_path, sheet, string_agg(line || CASE WHEN n = 1 THEN chr(10) || '| --- | --- | --- |' ELSE '' END, chr(10) ORDER BY \"row\") AS content FROM l GROUP BY ALL")
 def range_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return grid.render_markdown(grid.select_range(_order_cells(spark, sf), "orders", 1, 1, 60, 4))
 
 
-@query("range_json")
+@query(
+    "range_json",
+    f"""WITH {_ORDER_CELLS}, v AS (SELECT object_path, sheet, "row", unnest([1, 2]) AS col, unnest([CAST(a AS VARCHAR), CASE WHEN b = floor(b) THEN CAST(CAST(b AS BIGINT) AS VARCHAR) ELSE CAST(b AS VARCHAR) END]) AS value FROM o WHERE "row" BETWEEN 5 AND 20),
+n AS (SELECT *, CASE col WHEN 1 THEN 'A' ELSE 'B' END || "row" AS address FROM v), i AS (SELECT *, {_sql_id('cell', 'sheet', 'address')} AS id FROM n)
+SELECT object_path, sheet, '[' || string_agg('{{"row":' || "row" || ',"col":' || col || ',"element_id":"' || id || '","address":"' || address || '","value":"' || value || '"}}', ',' ORDER BY "row", col) || ']' AS cells FROM i GROUP BY ALL""",
+)
 def range_json(spark: SparkSession, sf: str) -> DataFrame:
     cells = _order_cells(spark, sf).withColumn("element_id", ids.element_id("cell", F.col("sheet"), a1.address(F.col("row"), F.col("col"))))
     return grid.range_json(grid.select_range(cells, "Orders", 5, 1, 20, 2))
@@ -238,7 +259,7 @@ def render_cap(spark: SparkSession, sf: str) -> DataFrame:
     return grid.cap_cells(_order_cells(spark, sf), 500).groupBy("object_path").agg(F.count(F.lit(1)).alias("shown"), F.max("cut").alias("cut"))
 
 
-@query("sheet_preview")
+@query("sheet_preview", f"WITH {_ORDER_CELLS}, r AS (SELECT object_path, sheet, \"row\", dense_rank() OVER (PARTITION BY object_path ORDER BY \"row\") AS n FROM o), c AS (SELECT object_path, sheet, \"row\", unnest([1, 2, 4]) AS col, unnest(['integer', 'float', 'string']) AS kind FROM r WHERE n <= 10), k AS (SELECT *, row_number() OVER (PARTITION BY object_path ORDER BY \"row\", col) AS cell_no FROM c) SELECT object_path, sheet, \"row\", col, kind, CAST(cell_no AS INT) AS cell_no FROM k WHERE cell_no <= 200")
 def sheet_preview(spark: SparkSession, sf: str) -> DataFrame:
     cells = _order_cells(spark, sf)
     return grid.preview(cells, cells.select("object_path", "sheet").distinct().withColumn("idx", F.lit(0))).select("object_path", "sheet", "row", "col", "kind", "cell_no")
@@ -505,11 +526,6 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return status.cached(table(spark, sf, "access_log"), table(spark, sf, "artifacts"), ["object_path", "source_hash"]).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _sql_id(kind: str, *columns: str) -> str:
-    parts = " || ".join(f"'/' || octet_length(encode({c})) || ':' || {c}" for c in columns)
-    return f"'{ids.PREFIXES[kind]}_' || left(sha256('{kind}/{ids.SCHEMA_VERSION}' || {parts}), 24)"
-
-
 @query("element_ids", f"SELECT unit_id, {_sql_id('paragraph', 'CAST(idx AS VARCHAR)', 'text')} AS element_id FROM (SELECT unit_id, idx, coalesce(text, '') AS text FROM paragraphs)")
 def element_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "paragraphs").select("unit_id", ids.element_id("paragraph", F.col("idx"), F.col("text")).alias("element_id"))
