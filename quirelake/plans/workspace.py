@@ -59,11 +59,18 @@ def search_lines(spark: SparkSession, sf: str) -> DataFrame:
     return search.cap_per_file(hits, "line_no").select(F.col("path").alias("doc_id"), "line_no", "snippet", "hit_no")
 
 
-@query("search_models")
+@query(
+    "search_models",
+    f"""
+WITH t AS (SELECT v.artifact_id, j.key, j.type, substring(j.fullkey, 3) AS key_path, json_extract_string(j.atom, '$') AS leaf, j.value FROM (SELECT artifact_id, ltrim(payload, chr(65279)) AS payload FROM artifacts WHERE json_valid(ltrim(payload, chr(65279)))) v, json_tree(v.payload) j),
+n AS (SELECT artifact_id, key_path, json_extract_string(value, '$.name') || ' → ' || coalesce(json_extract_string(value, '$.formula'), '') AS leaf FROM t WHERE type = 'OBJECT' AND regexp_matches(key_path, '(^|[.])named_ranges(\\[[0-9]+\\])?$') AND json_type(value, '$.name') = 'VARCHAR'),
+s AS (SELECT artifact_id, key_path, leaf FROM t WHERE type = 'VARCHAR' AND key_path <> '' AND NOT regexp_matches(key_path, '(^|[.])named_ranges(\\[[0-9]+\\])?[.]') AND regexp_extract(key_path, '([^.\\[\\]]+)(\\[[0-9]+\\])*$', 1) NOT IN ({", ".join(f"'{k}'" for k in sorted(search.STRUCTURAL))}) UNION ALL SELECT * FROM n)
+SELECT artifact_id, key_path, substring(leaf, 1, 160) AS snippet FROM s WHERE contains({_fold('leaf')}, 'margin')""",
+)
 def search_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Every leaf of the models that holds the needle, with the selector it can be read by again."""
+    """Every content leaf of the models that holds the needle, and where it stands."""
     hits = search.search_models(table(spark, sf, "artifacts"), "artifact_id", "payload", "margin")
-    return hits.select(F.col("path").cast("bigint").alias("artifact_id"), "key_path", "selector_kind", "selector_value", "snippet")
+    return hits.select(F.col("path").cast("bigint").alias("artifact_id"), "key_path", "snippet")
 
 
 @query("search_workspace")
